@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup
+from tidemark.llm import decontaminate, exact_dedup, piece_bpe
 from tidemark.llm.common import read
+from tidemark.llm.queries import tokenizer
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +19,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact dedup", drop_copies), ("benchmark decontamination", drop_leaks)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, encoded."""
+    return piece_bpe.encoded(docs, tokenizer())
+
+
+STAGES = [("exact dedup", drop_copies), ("benchmark decontamination", drop_leaks), ("SentencePiece encoding and decoding", encode)]
 ORACLE_SQL = None
 
 

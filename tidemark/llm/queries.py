@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup
+from tidemark.llm import decontaminate, exact_dedup, piece_bpe
 from tidemark.llm.common import read
 
 
@@ -12,11 +12,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def tokenizer(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer files lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encoded(read(spark, sf_dir, "documents"), tokenizer())
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_sentencepiece, op6_exact_dedup)}
 
 ORACLES = {
     "op2_decontaminate": r"""
