@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, piece_bpe
+from tidemark.llm import decontaminate, exact_dedup, langid, piece_bpe
 from tidemark.llm.common import read
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(read(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -27,7 +31,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_sentencepiece, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_sentencepiece, op6_exact_dedup)}
 
 ORACLES = {
     "op2_decontaminate": r"""
