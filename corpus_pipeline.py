@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, piece_bpe
+from tidemark.llm import decontaminate, exact_dedup, piece_bpe, toxicity
 from tidemark.llm.common import read
 from tidemark.llm.queries import tokenizer
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: that with the smallest id."""
     return exact_dedup.exact_dedup(docs)
@@ -24,7 +29,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(docs, tokenizer())
 
 
-STAGES = [("exact dedup", drop_copies), ("benchmark decontamination", drop_leaks), ("SentencePiece encoding and decoding", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("benchmark decontamination", drop_leaks), ("SentencePiece encoding and decoding", encode)]
 ORACLE_SQL = None
 
 

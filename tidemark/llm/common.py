@@ -158,11 +158,11 @@ def remainder(column, n: int):
     return F.crc32(column.cast("string").cast("binary")) % n
 
 
-def sampled(rows: DataFrame, by: str, per_class: int, key: str = "id") -> tuple[DataFrame, list]:
-    """About per_class rows of each value of `by`, by a hash of the key (the same rows each time), and those values. Values are few: languages, yes and no."""
+def sampled(rows: DataFrame, by: str, per_class: int, key: str = "id") -> tuple[DataFrame, dict]:
+    """About per_class rows of each value of `by`, by a hash of the key (the same rows each time), and how many rows each value has. Values are few: languages, yes and no."""
     counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
     u = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(by) == value, F.lit(min(1.0, per_class / n))).otherwise(share)
-    return rows.where(u < share), sorted(counts)
+    return rows.where(u < share), counts

@@ -67,7 +67,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LAND
     langs = [r[0] for r in labelled.select("lang").distinct().collect()]
     if not langs:
         return None
-    rows, langs = sampled(labelled, "lang", max(2, train_rows // len(langs)))
+    rows, counts = sampled(labelled, "lang", max(2, train_rows // len(langs)))
+    langs = sorted(counts)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(_lowered(batches)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, langid, piece_bpe
+from tidemark.llm import decontaminate, exact_dedup, langid, piece_bpe, toxicity
 from tidemark.llm.common import read
 
 
@@ -31,7 +31,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_sentencepiece, op6_exact_dedup)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_sentencepiece, op6_exact_dedup, op7_toxicity)}
 
 ORACLES = {
     "op2_decontaminate": r"""
