@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, langid, piece_bpe, toxicity
+from tidemark.llm import decontaminate, exact_dedup, langid, piece_bpe, toxicity, warc
 from tidemark.llm.common import read
 
 
@@ -35,7 +35,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_sentencepiece, op6_exact_dedup, op7_toxicity)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_sentencepiece, op6_exact_dedup, op7_toxicity, op9_warc)}
 
 ORACLES = {
     "op2_decontaminate": r"""
@@ -55,5 +59,10 @@ SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS n_equal, count(*) AS n_window
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), q AS (SELECT page_id, t, strlen(t) AS n, min(page_id) OVER (PARTITION BY t) AS r FROM p)
+SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN n >= 100 AND page_id <> r THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> r THEN r END AS refers_to FROM q
 """,
 }
