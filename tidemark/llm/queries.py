@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, langid, piece_bpe, toxicity, warc
+from tidemark.llm import decontaminate, exact_dedup, langid, piece_bpe, toxicity, url_filter, warc
 from tidemark.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     """Where the public tokenizer files lie."""
     import public_tokenizers
@@ -39,7 +43,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op4_sentencepiece, op6_exact_dedup, op7_toxicity, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op6_exact_dedup, op7_toxicity, op9_warc)}
 
 ORACLES = {
     "op2_decontaminate": r"""
@@ -64,5 +68,29 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), q AS (SELECT page_id, t, strlen(t) AS n, min(page_id) OVER (PARTITION BY t) AS r FROM p)
 SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN n >= 100 AND page_id <> r THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id <> r THEN r END AS refers_to FROM q
+""",
+    "op3_url_filter": r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) t(word, rule)),
+h AS (SELECT host, CASE WHEN instr(host, '.') = 0 THEN host ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix,
+             CASE WHEN regexp_extract(host, '([^.]*[.][^.]*)$', 1) = '' THEN host ELSE regexp_extract(host, '([^.]*[.][^.]*)$', 1) END AS domain,
+             CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS g
+      FROM u LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END AS good FROM labels) l ON l.doc_id = u.page_id GROUP BY host),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(g) AS g FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d GROUP BY ALL),
+m AS (SELECT lvl, sum(n) AS t, sum(g) AS g, sum(n * n) AS sq, count(*) AS c, sum(g * g / n) AS a
+      FROM (SELECT 'h' AS lvl, n, g FROM h UNION ALL SELECT 'd', n, g FROM d UNION ALL SELECT 's', n, g FROM s) WHERE n > 0 GROUP BY lvl),
+q AS (SELECT lvl, (g + 1) / (t + 2) AS mean, (g / t) * (1 - g / t) AS w, a - g * (g / t) AS spread, t, sq, c FROM m),
+e AS (SELECT lvl, mean, CASE WHEN w * (t - sq / t - (c - 1)) > 0 THEN (spread - w * (c - 1)) / (w * (t - sq / t - (c - 1))) ELSE 0 END AS alike FROM q),
+k AS (SELECT lvl, mean, CASE WHEN alike <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, 1 / alike - 1)) END AS k FROM e),
+z AS (SELECT coalesce((SELECT mean FROM k WHERE lvl = 's'), 0.5::DOUBLE) AS mean, coalesce((SELECT k FROM k WHERE lvl = 's'), 1::DOUBLE) AS ks,
+             coalesce((SELECT k FROM k WHERE lvl = 'd'), 1::DOUBLE) AS kd, coalesce((SELECT k FROM k WHERE lvl = 'h'), 1::DOUBLE) AS kh),
+p AS (SELECT h.host, h.g + kh * dm AS a, h.n - h.g + kh * (1 - dm) AS b
+      FROM h JOIN (SELECT d.domain, (d.g + kd * sm) / (d.n + kd) AS dm, kh FROM d JOIN (SELECT s.suffix, (s.g + ks * mean) / (s.n + ks) AS sm, kd, kh FROM s, z) x USING (suffix)) y USING (domain)),
+b AS (SELECT host, a / (a + b) + 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5::DOUBLE AS bad FROM p),
+j AS (SELECT page_id, u.host, path, (SELECT max_by(rule, length(rule)) FROM r WHERE (u.host = split_part(rule, '/', 1) OR ends_with(u.host, '.' || split_part(rule, '/', 1)))
+             AND starts_with(u.path, substr(rule, instr(rule, '/')))) AS rule, bad FROM u JOIN b ON b.host = u.host)
+SELECT page_id, host, path, rule, coalesce((SELECT word FROM r WHERE r.rule = j.rule), CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM j
 """,
 }
