@@ -127,16 +127,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, np.flatnonzero(ends) + 1, np.searchsorted(offsets, first, "right") - 1
 
 
-def span_hash(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each span of lower-cased (A-Z) bytes."""
+def span_hash(data: np.ndarray, first: np.ndarray, end: np.ndarray, base: int = 40, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; with fold, of the bytes with A-Z lower-cased. base picks one of several hashes."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    base, inverse = ODD[40], np.uint64(pow(int(ODD[40]), -1, 1 << 64))
+    factor, inverse = ODD[base], np.uint64(pow(int(ODD[base]), -1, 1 << 64))
     n = len(data)
-    powers = _powers(base, n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[LOWER[data]] * powers, out=sums[1:])
-    return mixed((sums[end] - sums[first]) * _powers(inverse, n)[first] + (end - first).astype(np.uint64) * ODD[41])
+    np.cumsum(BYTE[LOWER[data] if fold else data] * _powers(factor, n), out=sums[1:])
+    return mixed((sums[end] - sums[first]) * _powers(inverse, n)[first] + (end - first).astype(np.uint64) * ODD[base + 1])
 
 
 _kept_powers: dict[int, np.ndarray] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, langid, piece_bpe, toxicity, url_filter, warc
+from tidemark.llm import chunk_dedup, decontaminate, exact_dedup, langid, piece_bpe, toxicity, url_filter, warc
 from tidemark.llm.common import read
 
 
@@ -43,7 +43,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op6_exact_dedup, op7_toxicity, op9_warc)}
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.measured(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op6_exact_dedup, op7_toxicity, op9_warc, op10_chunk_dedup)}
 
 ORACLES = {
     "op2_decontaminate": r"""
