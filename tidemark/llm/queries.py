@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chunk_dedup, decontaminate, exact_dedup, langid, piece_bpe, toxicity, url_filter, warc
+from tidemark.llm import chunk_dedup, decontaminate, exact_dedup, langid, piece_bpe, suffix_dedup, toxicity, url_filter, warc
 from tidemark.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.measured(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.measured(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op6_exact_dedup, op7_toxicity, op9_warc, op10_chunk_dedup)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_toxicity, op9_warc, op10_chunk_dedup)}
 
 ORACLES = {
     "op2_decontaminate": r"""
