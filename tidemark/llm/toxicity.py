@@ -176,35 +176,34 @@ def _without_copies(got: list) -> list:
     return kept
 
 
-def _confirmed(labelled: DataFrame, telling: np.ndarray) -> np.ndarray:
+def _confirmed(docs: DataFrame, labels: DataFrame, telling: np.ndarray) -> np.ndarray:
     """The telling features of the sample, less those that over all labelled rows occur in a clean document for every `CLEAN_SHARE` toxic ones, or more often."""
-    sought = labelled.sparkSession.sparkContext.broadcast(telling)
+    sought = docs.sparkSession.sparkContext.broadcast(telling)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, TABLE), np.int64)
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches):
-            toxic = rows.column("toxic").to_numpy()
             found, _, _, of = features(data, offsets)
+            met = [np.zeros(0, np.int64)]
             for k in range(len(AFFIXES)):
                 hit = np.flatnonzero(sought.value[found[k]])
-                pairs = np.unique(found[k][hit].astype(np.int64) << 32 | of[hit])
-                np.add.at(n, (toxic[pairs & 0xFFFFFFFF], pairs >> 32), 1)
-        at = np.flatnonzero(n.any(0)).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"place": at, "clean": n[0, at], "toxic": n[1, at]})
-
-    rows = labelled.select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = rows.mapInArrow(count, "place int, clean bigint, toxic bigint").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = [r[0] for r in counts.where(F.col("clean") * CLEAN_SHARE <= F.col("toxic")).select("place").collect()]  # at most TABLE
+                met.append(of[hit] << 32 | found[k][hit])
+            met = np.unique(np.concatenate(met))
+            yield pa.RecordBatch.from_pydict({"id": rows.column("id").take(pa.array(met >> 32)), "place": (met & 0xFFFFFFFF).astype(np.int32)})
+
+    # Texts stay where they are: only ids and places of words that tell meet the labels.
+    met = docs.mapInArrow(hits, f"id {docs.schema['id'].dataType.simpleString()}, place int").join(labels, "id")
+    counts = met.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    kept = [r[0] for r in counts.where((F.col("n") - F.col("toxic")) * CLEAN_SHARE <= F.col("toxic")).select("place").collect()]  # at most TABLE
     out = np.zeros_like(telling)
     out[kept] = True
     return out
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS) -> Model | None:
-    """A model from (id, text, toxic), on a bounded sample."""
-    bounded_batches(labelled.sparkSession)
-    labelled = labelled.where(F.col("toxic").isin(0, 1))
-    rows, counts = sampled(labelled, "toxic", train_rows)
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS) -> Model | None:
+    """A model from docs (id, text) and labels (id, toxic), on a bounded sample."""
+    bounded_batches(docs.sparkSession)
+    labels = labels.where(F.col("toxic").isin(0, 1)).select("id", F.col("toxic").cast("int").alias("toxic"))
+    chosen, counts = sampled(labels, "toxic", train_rows)
     if len(counts) < 2:
         return None
 
@@ -214,7 +213,9 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_words: int = TR
             at = np.searchsorted(of, np.arange(rows.num_rows + 1))
             yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "toxic": rows.column("toxic"), "f": pa.array([found[:, a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
 
-    rows = rows.select(F.xxhash64("id", F.lit("order")).alias("u"), F.col("toxic").cast("int"), F.coalesce("text", F.lit("")).alias("text"))
+    # About 2 x train_rows ids, whatever the number of labels: the sample's bound is the broadcast's.
+    rows = docs.join(F.broadcast(chosen), "id")
+    rows = rows.select(F.xxhash64("id", F.lit("order")).alias("u"), "toxic", F.coalesce("text", F.lit("")).alias("text"))
     got = [(r[1], np.frombuffer(r[2], np.int32).reshape(len(AFFIXES), -1)) for r in sorted(rows.mapInArrow(places, "u bigint, toxic int, f binary").toLocalIterator(), key=lambda r: (r[0], r[1]))]
     got = _without_copies(got)
     size = np.cumsum([f.shape[1] for _, f in got])
@@ -230,7 +231,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_words: int = TR
     n_toxic = np.bincount(np.concatenate([s for s, t in zip(seen, toxic) if t]), minlength=TABLE)
     rate = toxic.mean()
     telling = (n_toxic == n_all) & (n_toxic * -np.log(rate) > np.log(max(2, (n_all > 1).sum())))
-    telling = _confirmed(labelled, telling)
+    telling = _confirmed(docs, labels, telling)
     tag = telling[f].any(0) & (toxic[of] == 1)
     fresh = np.ones(len(of), bool)
     fresh[1:] = of[1:] != of[:-1]
@@ -296,7 +297,7 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
 def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """A model learned from labels(id, toxic) of the rows that are not held out (crc32 of the id modulo 4 is not 2)."""
     own = labels.where(remainder(labels[id_col], 4) != 2).select(labels[id_col].alias("id"), labels["toxic"].alias("toxic"))
-    return fit(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(own, "id"))
+    return fit(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), own)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
