@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, piece_bpe, toxicity
+from tidemark.llm import decontaminate, exact_dedup, ngram_join, piece_bpe, toxicity
 from tidemark.llm.common import read
 from tidemark.llm.queries import tokenizer
 
@@ -19,6 +19,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest id."""
+    return ngram_join.without_near_copies(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
     return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -29,7 +34,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(docs, tokenizer())
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("benchmark decontamination", drop_leaks), ("SentencePiece encoding and decoding", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_leaks), ("SentencePiece encoding and decoding", encode)]
 ORACLE_SQL = None
 
 

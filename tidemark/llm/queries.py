@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chunk_dedup, decontaminate, exact_dedup, langid, piece_bpe, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm import chunk_dedup, decontaminate, exact_dedup, langid, ngram_join, piece_bpe, suffix_dedup, toxicity, url_filter, warc
 from tidemark.llm.common import read
 
 
@@ -43,6 +43,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(read(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.measured(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_toxicity, op9_warc, op10_chunk_dedup)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_toxicity, op8_ngram_join, op9_warc, op10_chunk_dedup)}
 
 ORACLES = {
     "op2_decontaminate": r"""
