@@ -183,7 +183,9 @@ def test_text_functions(spark):
     assert one(text.haystack_time(F.col("c0")), "2023/05/20 (Sat) 02:21") == 1684549260
     assert one(text.slug(F.col("c0")), "Ünïcode & more " + "word-" * 20).count("-") > 3
     assert one(text.truncated(F.col("c0"), 8), "abcdefghijk") == "abcde..."
-    assert one(text.at_boundary(F.col("c0"), 20), "One sentence. Another one here.") == "One sentence.…"
+    long = "One sentence. " + "x" * 60
+    assert one(text.at_boundary(F.col("c0"), 60), long) == "One sentence. " + "x" * 15 + "\n… [truncated, 74 chars total]"
+    assert one(text.at_boundary(F.col("c0"), 50), long) == "One sentence.\n… [truncated, 74 chars total]"
 
 
 def test_hook_outcomes_and_cap(spark):
@@ -212,8 +214,8 @@ def test_transcripts_and_pairs(spark, tmp_path):
     f = tmp_path / "t.jsonl"
     f.write_text("\n".join(['{"type":"user","message":{"role":"user","content":"q"}}', '{"type":"assistant","message":{"role":"assistant","content":"one"}}', "bad", '{"type":"assistant","message":{"role":"assistant","content":[{"type":"text","text":"two"},{"type":"tool"}]}}']))
     assert transcripts.last_answers(spark, str(f), 2).first()["text"] == "one\n\ntwo"
-    turns = spark.createDataFrame([(1, 1, "user", "a"), (1, 2, "system", "s"), (1, 3, "assistant", "b"), (1, 4, "user", "c")], "conv_id int, turn int, role string, text string")
-    assert [r["content"] for r in metrics.turn_pairs(turns).orderBy("turn").collect()] == ["user: a\nassistant: b", "user: c\nassistant: <none>"]
+    turns = spark.createDataFrame([(1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 4, "system", "s"), (1, 5, "assistant", "d"), (1, 6, "user", " ")], "conv_id int, turn int, role string, text string")
+    assert [r["content"] for r in metrics.turn_pairs(turns).orderBy("turn").collect()] == ["USER: a\nASSISTANT: b", "USER: c\nASSISTANT: <none>"]
 
 
 def test_todo_states(spark):

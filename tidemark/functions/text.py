@@ -114,17 +114,18 @@ def auto_summary(content: str = "content", given: str = "summary") -> Column:
     return F.when(F.col(given).isNull() & (F.octet_length(content) > AUTO_SUMMARY_BYTES), summary(content)).otherwise(F.col(given))
 
 
-def _cut(text: str, most: int, marker: str = "…") -> str:
+def _cut(text: str, most: int) -> str:
     if not most or len(text) <= most:
         return text
+    marker = f"\n… [truncated, {len(text)} chars total]"
     room = text[: max(0, most - len(marker))]
     ends = [room.rfind(b) + len(b) for b in ("\n\n", ". ", "! ", "? ", "\n") if b in room]
-    at = max((e for e in ends if e >= len(room) / 2), default=len(room))
-    return room[:at].rstrip() + marker
+    at = max((e for e in ends if 2 * e >= len(room)), default=0)
+    return (room[:at].rstrip() if at else room) + marker
 
 
 def at_boundary(text: Column, most: int) -> Column:
-    """The text cut to `most` characters, at the end of a paragraph, sentence or line that keeps half of it or more."""
+    """The text cut to `most` characters, a note on its length among them, at the end of a paragraph, sentence or line that keeps half of it or more."""
     return F.pandas_udf(lambda s: s.map(lambda t: _cut(t, most), na_action="ignore"), T.StringType())(text)
 
 

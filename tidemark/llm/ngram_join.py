@@ -8,9 +8,10 @@ sketch of fixed size counts every n-gram of every document, and the n-grams that
 
 Columns are blocks of the product. A column of up to `PAIR_COLUMN` sets yields its pairs, whose overlap
 counts are added up over columns; pairs of unlike sizes, or whose count stays under the margin (less the n-grams
-that went to wide columns), are dropped. A wide column is never squared: some of its sets (hubs, few at first and twice as many each
-round) are compared with the sets that are not yet known to be of their component, and leave it; it is done
-when all that is left in it is of one component. Every pair that is left is verified on the two whole texts. Pairs within one component need no
+that went to wide columns), are dropped. A wide column is never squared: some of its sets (hubs, one at first and `HUBS_MORE` times as
+many each round) are compared with the sets that are not yet known to be of their component, and leave it; it is done
+when all that is left in it is of one component. Pairs that the sets' signatures
+rule out go next, and every pair that is left is verified on the two whole texts. Pairs within one component need no
 comparison, as only components are asked for; no link between different components is lost.
 
 Defined results. Null text, or one without words: no n-grams, linked with nothing, a component of its own. Fewer words than `WORDS`: the
@@ -34,7 +35,7 @@ from tidemark.llm.components import components
 
 WORDS, THRESHOLD = 5, 75
 SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
-PAIR_COLUMN = 32
+PAIR_COLUMN, HUBS_MORE, SIGNATURE_BITS = 32, 8, 2048
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -68,9 +69,14 @@ def margin(n: int) -> int:
 
 
 def prefix_size(n: int, threshold: int = THRESHOLD) -> int:
+    """n-grams of a set, in the order of all, of which it shares `margin` with any set that it links to."""
     return min(n, n - needed(n, threshold) + margin(n))
 
 
+#: Size and position of an entry in one number, so that an entry stays small: size x PLACES + position.
+PLACES = 1 << 31
+
+
 def digest(grams: np.ndarray) -> tuple[int, int]:
     raw = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
@@ -122,13 +128,18 @@ def _summed(counted: DataFrame) -> np.ndarray:
 
 def frequency_classes(sketch: np.ndarray) -> np.ndarray:
     """0 where a count may be chance, else 1 and more by powers of two. Chance: six deviations above the mean."""
-    mean = np.minimum(sketch, np.median(sketch) * 4 + 16).mean()
+    usual = float(np.median(sketch[:: max(1, len(sketch) // SKETCH_BLOCK)])) * 4 + 16  # the mean leaves out what stands out
+    blocks = sketch.reshape(-1, SKETCH_BLOCK)
+    mean = sum(float(np.minimum(b, usual).sum()) for b in blocks) / len(sketch)
     stands_out = mean + 6 * np.sqrt(mean) + 8
-    return np.where(sketch < stands_out, 0, 1 + np.floor(np.log2(np.maximum(sketch / stands_out, 1)))).astype(np.uint8)
+    out = np.zeros(len(sketch), np.uint8)
+    at = np.flatnonzero(sketch >= stands_out)
+    out[at] = 1 + np.floor(np.log2(sketch[at] / stands_out))
+    return out
 
 
 def _entries(rows: DataFrame, classes: np.ndarray, words: int, threshold: int) -> DataFrame:
-    """(gram, node, n, common): the entries of the matrix to multiply; common n-grams stand out in the sketch. Each task gives a set once."""
+    """(gram, node, n, common): the entries of the matrix to multiply; n is the set's size and the n-gram's position in its order (`PLACES`); common n-grams stand out in the sketch. Each task gives a set once."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +158,7 @@ def _entries(rows: DataFrame, classes: np.ndarray, words: int, threshold: int) -
                 grams.append(s[first])
                 commons.append(kind[first] > 0)
                 nodes.append(np.full(len(first), node))
-                sizes.append(np.full(len(first), len(s), np.int64))
+                sizes.append(len(s) * PLACES + np.arange(len(first), dtype=np.int64))
             if grams:
                 yield pa.RecordBatch.from_pydict({"gram": np.concatenate(grams).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "common": np.concatenate(commons)})
 
@@ -155,7 +166,7 @@ def _entries(rows: DataFrame, classes: np.ndarray, words: int, threshold: int) -
 
 
 def _alike(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
-    return 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
+    return 100 * np.minimum(n // PLACES, m // PLACES) >= threshold * np.maximum(n // PLACES, m // PLACES)
 
 
 def _multiplied(entries: DataFrame, threshold: int) -> DataFrame:
@@ -175,7 +186,7 @@ def _multiplied(entries: DataFrame, threshold: int) -> DataFrame:
                 a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
                 fit = _alike(n[a], n[b], threshold)
                 a, b = a[fit], b[fit]
-                yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(a), pa.int64()), "a": node[a], "n": n[a], "b": node[b], "m": n[b]})
+                yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(a), pa.int64()), "a": node[a], "n": n[a] // PLACES, "b": node[b], "m": n[b] // PLACES})
         wide = np.repeat(size > PAIR_COLUMN, size)
         if wide.any():
             k = int(wide.sum())
@@ -215,9 +226,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    # Each text goes to its pairs, not the pairs' texts to one place; hot hubs are split by Spark.
     return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _signed(texts: DataFrame, words: int) -> DataFrame:
+    """texts (node, text) with `bits`: a bit for each n-gram of the set, of SIGNATURE_BITS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in pieces(batches):
+            sets = ngrams(data, offsets, words)
+            bits = np.zeros((len(sets), SIGNATURE_BITS), np.uint8)
+            for k, s in enumerate(sets):
+                bits[k, (s & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)] = 1
+            packed = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "n": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array([b.tobytes() for b in packed], pa.binary()), "text": batch.column("text")})
+
+    return texts.mapInArrow(run, "node bigint, n bigint, bits binary, text string")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that may link by their signatures: a bit that one set has and the other has not is an n-gram that they do not share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1), m - np.bitwise_count(y & ~x).sum(1)).astype(np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(100 * most >= threshold * (n + m - most)))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def _closest(pairs: DataFrame) -> DataFrame:
     """For each set, the pair in which it shares the most: what is most likely to link it."""
     turned = pairs.select(F.col("a").alias("x"), "a", "b", "shared").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "shared"))
@@ -243,42 +285,54 @@ def links(rows: DataFrame, counted: DataFrame, words: int = WORDS, threshold: in
     bounded_batches(spark, 2000)
     product = cut(_multiplied(entries.where("not common"), threshold))
     wide = cut(product.where("b is null").select("gram", F.col("a").alias("node"), "n").unionByName(entries.where("common").select("gram", "node", "n")).distinct())
-    lone = wide.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
     away = cut(wide.groupBy("node").agg(F.count("*").alias("away")))
     pairs = product.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     for side in ("a", "b"):
         pairs = pairs.join(away.select(F.col("node").alias(side), F.col("away").alias(f"away_{side}")), side, "left")
     least = F.greatest(F.lit(1), F.floor(F.least("n", "m") / 20))
     pairs = cut(pairs.where(F.col("shared") + F.least(F.coalesce("away_a", F.lit(0)), F.coalesce("away_b", F.lit(0))) >= least).select("a", "b", "shared"))
-    wide = cut(wide.withColumn("h", F.xxhash64("gram")).join(lone.select("gram", F.xxhash64("gram").alias("h")), ["h", "gram"]).drop("h"))
+    # A set shares one of its first n - needed + 1 n-grams with any set that it links to: later ones make no wide columns.
+    wide = wide.select("gram", "node", F.expr(f"n div {PLACES}").alias("n"), (F.col("n") % PLACES).alias("pos"))
+    wide = cut(_columns(wide.where(F.col("n") - F.ceil(F.col("n") * threshold / 100) >= F.col("pos"))))
     sought = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(wide.select("node")).distinct()
     one = counted.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("one"))
     places = sought.join(one, "node").select("node", F.col("one.id").alias("own_id"), F.col("one.mark").alias("own_mark"))
-    texts = cut(rows.join(places, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("node", "text").dropDuplicates(["node"]))
+    texts = rows.join(places, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("node", "text")
+    texts = cut(_signed(texts, words))
     bounded_batches(spark, 500)
 
     known, seen, left, turn = None, None, pairs, 0
     while True:
         own = cut(_with_component(wide, known).join(away, "node"))
         hubs = _hubs(own, turn)
-        step = _closest(left) if turn == 0 else left.select("a", "b")
-        step = step.unionByName(_hub_pairs(own, hubs, threshold)).distinct()
+        step = _hub_pairs(own, hubs, threshold)
+        if left is not None:
+            step = step.unionByName(left.select("a", "b") if turn else _closest(left))
+        step = step.distinct()
         step = cut(step if seen is None else step.join(seen, ["a", "b"], "left_anti"))
-        linked = _verified(step, texts, words, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = linked if known is None else linked.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        known = components(edges)
+        linked = cut(_verified(_possible(step, texts, threshold), texts, words, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if known is None or not linked.isEmpty():
+            edges = linked if known is None else linked.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            known = components(edges)
+        # The pairs of narrow columns are all verified after the second round.
+        left = None if turn else cut(_apart(left.join(step, ["a", "b"], "left_anti"), known))
         seen = step if seen is None else seen.unionByName(step)
-        left = cut(_apart(left.join(seen, ["a", "b"], "left_anti"), known))
-        wide = cut(_still_wide(own.join(hubs.select("gram", F.col("hub").alias("node")), ["gram", "node"], "left_anti").select("gram", "node", "n"), known))
+        wide = cut(_still_wide(own.join(hubs.select("gram", F.col("hub").alias("node")), ["gram", "node"], "left_anti").select("gram", "node", "n", "pos"), known))
         turn += 1
-        if wide.isEmpty() and left.isEmpty():
+        if wide.isEmpty() and (left is None or left.isEmpty()):
             return known
 
 
+def _columns(wide: DataFrame) -> DataFrame:
+    """The entries of columns of more than one set."""
+    per = wide.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+    return wide.withColumn("h", F.xxhash64("gram")).join(per.select("gram", F.xxhash64("gram").alias("h")), ["h", "gram"]).drop("h")
+
+
 def _with_component(wide: DataFrame, known: DataFrame | None) -> DataFrame:
     if known is None:
         return wide.withColumn("component", F.col("node"))
-    return wide.join(known, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("component"))
+    return wide.join(known, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
 
 
 def _still_wide(wide: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -288,24 +342,32 @@ def _still_wide(wide: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def _hubs(own: DataFrame, turn: int) -> DataFrame:
-    """(gram, hub, hub_n, hub_component): each wide column's hubs of this round.
+    """(gram, hub, hub_n, hub_component, hub_pos): each wide column's hubs of this round.
 
-    The first is the set most of whose n-grams are in wide columns, so the middle of a group of near copies; in later rounds, sets by hash join it, twice as many each time.
+    The first is the set most of whose n-grams are in wide columns, so the middle of a group of near copies. Later, sets are drawn by hash, `HUBS_MORE` times as many each
+    time, from those outside the component of that first one: what is in it need not be compared with each other.
     """
-    middle = F.struct(-F.col("away") / F.col("n"), "node", "n", "component")
-    per = own.groupBy("gram").agg(F.count("*").alias("sets"), F.min(middle).alias("hub"))
-    best = per.select("gram", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
+    middle = F.struct(-F.col("away") / F.col("n"), "node", "n", "component", "pos")
+    per = own.groupBy("gram").agg(F.min(middle).alias("hub"))
+    best = per.select("gram", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"), F.col("hub.pos").alias("hub_pos"))
     if not turn:
         return best
-    sizes = per.select("gram", "sets", F.xxhash64("gram").alias("h"))
-    drawn = own.withColumn("h", F.xxhash64("gram")).join(sizes, ["h", "gram"]).where(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("sets")) < 2**turn)
-    return best.unionByName(drawn.select("gram", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))).distinct()
+    others = own.withColumn("h", F.xxhash64("gram")).join(best.select("gram", F.xxhash64("gram").alias("h"), F.col("hub_component").alias("main")), ["h", "gram"]).where("component != main")
+    sizes = others.groupBy("gram").agg(F.count("*").alias("sets")).withColumn("h", F.xxhash64("gram"))
+    drawn = others.join(sizes, ["h", "gram"]).where(F.pmod(F.xxhash64("node", F.lit(turn)), F.col("sets")) < HUBS_MORE**turn)
+    least = others.groupBy("gram").agg(F.min(F.struct("node", "n", "component", "pos")).alias("hub")).select("gram", "hub.*")  # one at least
+    return drawn.select("gram", "node", "n", "component", "pos").unionByName(least).distinct().select("gram", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"), F.col("pos").alias("hub_pos"))
 
 
 def _hub_pairs(own: DataFrame, hubs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of each wide column's hubs with its sets of other components and fitting sizes."""
+    """Pairs (a, b) of each wide column's hubs with its sets of other components, fitting sizes and fitting positions.
+
+    If the column is the first in which two sets meet, they share at most what either has left from there. If it is not, the pair comes up in the first one.
+    """
     met = own.withColumn("h", F.xxhash64("gram")).join(hubs.withColumn("h", F.xxhash64("gram")), ["h", "gram"])
     fit = (F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n"))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
+    fit = fit & ((100 + threshold) * rest >= threshold * (F.col("n") + F.col("hub_n")))
     return met.where(fit).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 

@@ -353,8 +353,8 @@ def first_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''), n AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, 'user: ' || text || chr(10) || 'assistant: ' || CASE WHEN nr = 'assistant' THEN nt ELSE '<none>' END AS content FROM n WHERE role = 'user'"""
+    """WITH n AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, 'USER: ' || text || chr(10) || 'ASSISTANT: ' || CASE WHEN nr = 'assistant' AND trim(nt) <> '' THEN nt ELSE '<none>' END AS content FROM n WHERE role = 'user' AND trim(text) <> ''"""
 )
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     return metrics.turn_pairs(demo.read(spark, d, "conversations"))
