@@ -184,7 +184,7 @@ def test_text_functions(spark):
     assert one(text.slug(F.col("c0")), "Ünïcode & more " + "word-" * 20).count("-") > 3
     assert one(text.truncated(F.col("c0"), 8), "abcdefghijk") == "abcde..."
     long = "One sentence. " + "x" * 60
-    assert one(text.at_boundary(F.col("c0"), 60), long) == "One sentence. " + "x" * 15 + "\n… [truncated, 74 chars total]"
+    assert one(text.at_boundary(F.col("c0"), 60), long) == "One sentence. " + "x" * 16 + "\n… [truncated, 74 chars total]"
     assert one(text.at_boundary(F.col("c0"), 50), long) == "One sentence.\n… [truncated, 74 chars total]"
 
 
