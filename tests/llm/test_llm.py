@@ -182,6 +182,30 @@ def test_chunks(spark):
     assert chunk_dedup.measured(frame(spark, [])).count() == 0
 
 
+def test_chunk_query_finds_whole_passages(spark, tmp_path):
+    """Passages of 51 words, in two documents each, at any place; alone, the first of them stays."""
+    from tidemark.llm.queries import QUERIES
+
+    rnd, rows, want = random.Random(11), [], {}
+    word = lambda low: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(low, 6)))
+    for k in range(60):
+        passage = " ".join(word(4) for _ in range(51))
+        pair = [(" ".join(word(1) for _ in range(rnd.randint(0, 80))), " ".join(word(1) for _ in range(rnd.randint(0, 80)))) for _ in range(2)]
+        texts = [f"{a}\n{passage}\té{b}" if n else f"{a} {passage} è{b}" for n, (a, b) in enumerate(pair)]
+        rows += [(2 * k + n, t) for n, t in enumerate(texts)]
+        want |= {2 * k: (len(passage), 0, texts[0]), 2 * k + 1: (len(passage), len(passage), texts[1].replace(passage, ""))}
+    rows += [(None, "a" * 1000), (900, None), (901, ""), (902, "ab" * 59)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op10_chunk_dedup"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, (repeated, removed, kept) in want.items():
+        assert (got[i]["n_repeated"], got[i]["n_removed"], got[i]["n_spans"]) == (repeated, removed, int(removed > 0))
+        assert got[i]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+    kept = {r["doc_id"]: r["kept"] for r in chunk_dedup.deduplicated(frame(spark, rows), extend=True).collect()}
+    assert all(kept[i] == t for i, (_, _, t) in want.items())
+    assert chunk_dedup.measured(frame(spark, []), extend=True).count() == 0
+
+
 def test_suffix_array():
     rnd = random.Random(1)
     for _ in range(500):

@@ -52,7 +52,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.measured(read(spark, sf_dir, "documents"))
+    return chunk_dedup.measured(read(spark, sf_dir, "documents"), extend=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_toxicity, op8_ngram_join, op9_warc, op10_chunk_dedup)}
