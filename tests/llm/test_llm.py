@@ -73,6 +73,15 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.overlaps(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_spares_rows_that_share_an_id(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, f"a b {item} c"), (None, "clean without an id"), (None, None), (7, f"{item} tail"), (7, "clean with a shared id"), (7, f"{item} tail"), (8, "clean")]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    left = decontaminate.decontaminated(frame(spark, rows), bench)
+    assert left.columns == frame(spark, rows).columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(rows[k] for k in (1, 2, 4, 6))
+
+
 def test_sentencepiece_is_the_library(spark):
     import sentencepiece
 

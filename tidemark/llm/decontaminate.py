@@ -11,7 +11,7 @@ The benchmark's side is broadcast while it has at most `BROADCAST_ROWS` seeds (c
 shuffle. A document's windows are made and compared within its own row, so nothing is gathered by key before the join.
 
 Defined results. Null or empty text or item: no words, no overlap. Null ids pass through. Repeated rows: each pair of
-ids is returned once, with the most equal words of all its overlaps. Empty tables: no rows. Extra columns: not looked at.
+ids is returned once, with the most equal words of all its overlaps; `decontaminated` tells rows that share an id (or have none) apart by their text. Empty tables: no rows. Extra columns: not looked at.
 """
 
 from __future__ import annotations
@@ -87,6 +87,9 @@ def overlaps(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that overlap no benchmark item, with all their columns."""
-    leaked = overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leaked")).distinct()
-    return docs.join(leaked, docs[id_col].eqNullSafe(leaked["__leaked"]), "left_anti")
+    """The rows of docs that overlap no benchmark item, with all their columns. Rows are told apart by id and text: one that leaks takes no other with it."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(text).alias("mark"), F.octet_length(text).alias("size")).alias("row"), text.alias("text"))
+    leaked = overlaps(rows, benchmark, "row", "text").select(F.col("row.id").alias("__leaked"), F.col("row.mark").alias("__mark"), F.col("row.size").alias("__size")).distinct()
+    same = docs[id_col].eqNullSafe(leaked["__leaked"]) & (F.xxhash64(text) == leaked["__mark"]) & (F.octet_length(text) == leaked["__size"])
+    return docs.join(leaked, same, "left_anti")
