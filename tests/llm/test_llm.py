@@ -134,6 +134,32 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.scored(d, l.limit(0)).collect()} == {0.0}
 
 
+def toxic_rows(n, long=0):
+    """(docs, labels): every third is toxic; of each label, the first `long` have 8,000 words."""
+    rnd = random.Random(9)
+    voc = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "se", "ti") for c in ("po", "qu", "ve", "xa")]
+    docs, labels = [], []
+    for k in range(n):
+        size = 8000 if k // 3 < long and k % 3 < 2 else rnd.randint(20, 60)
+        words = [rnd.choice(voc) for _ in range(size)]
+        for _ in range(max(3, size // 20) if k % 3 == 0 else 0):
+            words[rnd.randrange(len(words))] = rnd.choice(("vileword", "Badterm,", "grimnoun"))
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(k % 3 == 0)))
+    return docs, labels
+
+
+def test_toxicity_learns_beside_very_long_rows(spark):
+    docs, labels = toxic_rows(300, long=20)
+    d, l = spark.createDataFrame(docs, "id bigint, text string"), spark.createDataFrame(labels, "id bigint, toxic int")
+    model = toxicity.fit(d, l, train_words=7000)
+    assert model is not None
+    score = {r["id"]: r["score"] for r in toxicity.predicted(d, model, "id").collect()}
+    wrong = [i for i, t in labels if (score[i] >= toxicity.THRESHOLD) != bool(t)]
+    assert len(wrong) <= 3
+    assert toxicity._longest([(5, 2), (100, 1)], 30) == 20 and toxicity._longest([(5, 2)], 30) == 5 and toxicity._longest([], 30) == 1
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     e, pair, fresh = rng.normal(size=6), rng.normal(size=(2, 2)), np.array([1, 0, 0, 1, 0, 0], bool)

@@ -8,8 +8,8 @@ one half make up the offending spans.
 Labels are of documents, so the training words are tagged first: a feature that occurs in toxic documents alone, more
 often than chance would have it over all features seen, tags the words of toxic documents that have it. The field and
 the document's function are then fitted on the driver by gradient descent, on a bounded sample: about `TRAIN_ROWS`
-labelled rows at most for each label, of at most `TRAIN_WORDS` words together (rows beyond are left out whole, in the order of
-a hash of their ids). Scoring covers whole texts, on Spark tasks of bounded batches.
+labelled rows at most for each label, of about `TRAIN_WORDS` words together, half of them for each label. Where a label's rows have more, its longest
+give a run of words at a place drawn by hash, all runs of one length; no row is left out for its length. Scoring covers whole texts, on Spark tasks of bounded batches.
 
 Defined results. Null or empty text: no words, the score that no evidence gives. No labelled row, or one label only:
 score 0 everywhere. Null labels: not learned from; two labels for an id: both count. Null ids, repeated rows: each row is
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ODD, bounded_batches, mixed, pieces, remainder, sampled, span_hash, word_spans
+from tidemark.llm.common import ODD, bounded_batches, cut, mixed, pieces, remainder, sampled, span_hash, word_spans
 
 TABLE = 1 << 18
 #: First bytes (positive) and last bytes (negative) of a word that count as features, besides the word; 0 is the word.
@@ -199,6 +199,16 @@ def _confirmed(docs: DataFrame, labels: DataFrame, telling: np.ndarray) -> np.nd
     return out
 
 
+def _longest(sizes: list[tuple[int, int]], budget: int) -> int:
+    """The largest number of words a row may give, so that all rows together give budget at most (one word each at least). sizes: (words, rows)."""
+    rows = sum(n for _, n in sizes)
+    for size, n in sorted(sizes):
+        if size * rows > budget:
+            return max(1, budget // rows)
+        budget, rows = budget - size * n, rows - n
+    return max([1, *(size for size, _ in sizes)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS) -> Model | None:
     """A model from docs (id, text) and labels (id, toxic), on a bounded sample."""
     bounded_batches(docs.sparkSession)
@@ -207,21 +217,34 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     if len(counts) < 2:
         return None
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in pieces(batches):
+            of = word_spans(data, offsets)[2]
+            yield pa.RecordBatch.from_pydict({"toxic": rows.column("toxic"), "size": pa.array(np.bincount(of, minlength=rows.num_rows), pa.int64())})
+
+    # About 2 x train_rows ids, whatever the number of labels: the sample's bound is the broadcast's.
+    rows = docs.join(F.broadcast(chosen), "id")
+    rows = cut(rows.select(F.xxhash64("id", F.lit("order")).alias("u"), "toxic", F.coalesce("text", F.lit("")).alias("text")))
+    lengths: dict[int, list] = {0: [], 1: []}
+    for r in rows.mapInArrow(sizes, "toxic int, size bigint").groupBy("toxic", "size").count().collect():
+        lengths[r[0]].append((r[1], r[2]))
+    total = {t: sum(size * n for size, n in own) for t, own in lengths.items()}
+    most = {t: _longest(own, max(train_words // 2, train_words - total[1 - t])) for t, own in lengths.items()}
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches):
             found, _, _, of = features(data, offsets)
             at = np.searchsorted(of, np.arange(rows.num_rows + 1))
-            yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "toxic": rows.column("toxic"), "f": pa.array([found[:, a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+            runs = []
+            for u, t, a, b in zip(rows.column("u").to_pylist(), rows.column("toxic").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                a += u % (b - a - most[t] + 1) if b - a > most[t] else 0
+                runs.append(found[:, a : min(b, a + most[t])].tobytes())
+            yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "toxic": rows.column("toxic"), "f": pa.array(runs, pa.binary())})
 
-    # About 2 x train_rows ids, whatever the number of labels: the sample's bound is the broadcast's.
-    rows = docs.join(F.broadcast(chosen), "id")
-    rows = rows.select(F.xxhash64("id", F.lit("order")).alias("u"), "toxic", F.coalesce("text", F.lit("")).alias("text"))
     got = [(r[1], np.frombuffer(r[2], np.int32).reshape(len(AFFIXES), -1)) for r in sorted(rows.mapInArrow(places, "u bigint, toxic int, f binary").toLocalIterator(), key=lambda r: (r[0], r[1]))]
     got = _without_copies(got)
-    size = np.cumsum([f.shape[1] for _, f in got])
-    got = got[: max(1, int(np.searchsorted(size, train_words, "right")))]
     toxic = np.array([t for t, _ in got])
-    if toxic.min() == toxic.max():
+    if not len(toxic) or toxic.min() == toxic.max():
         return None
     f = np.concatenate([x for _, x in got], 1)
     of = np.repeat(np.arange(len(got)), [x.shape[1] for _, x in got])
