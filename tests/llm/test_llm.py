@@ -39,6 +39,21 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
 
 
+def test_one_of_repeated_rows_stays(spark):
+    long, near = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(61))
+    rows = [(1, "a  b c")] * 5 + [(2, "a b c"), (3, "alone"), (None, "no id"), (None, "no  id"), (None, "a b c"), (None, None), (None, None), (5, ""), (6, long)] + [(6, long)] * 3
+    left = exact_dedup.exact_dedup(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    assert sorted(((r["doc_id"] or 0, " ".join((r["text"] or "").split())) for r in left.collect())) == [(0, "no id"), (1, "a b c"), (3, "alone"), (5, ""), (6, long)]
+    rows = [(6, long)] * 4 + [(6, near), (7, near), (None, near), (8, "b"), (8, "c"), (None, "x y z"), (None, "x y z"), (9, "")]
+    left = ngram_join.without_near_copies(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    one = [x for x in got if x[0] == 6]
+    assert len(one) == 1 and one[0][1] in (long, near)
+    assert got == Counter([one[0], (8, "b"), (8, "c"), (None, "x y z"), (9, "")])
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rnd = random.Random(2)
     voc = [f"w{k}" for k in range(60)]

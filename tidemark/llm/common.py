@@ -46,6 +46,23 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("id"), text.alias("text")).select("id", F.xxhash64("text").alias("mark"), "text")
 
 
+def one_of_each(docs: DataFrame, key: list, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose key is one of kept's, one row of each key. kept: (k0, k1, .., n), the key's columns and the number of its rows."""
+    kept = cut(kept)
+
+    def met(some: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for i, column in enumerate(key):
+            same = same & column.eqNullSafe(some[f"k{i}"])
+        return docs.join(some, same, "left_semi")
+
+    if kept.where("n > 1").isEmpty():
+        return met(kept)
+    # Only rows that repeat are grouped; they are combined where they lie.
+    often = met(kept.where("n > 1")).groupBy(*[column.alias(f"__k{i}") for i, column in enumerate(key)])
+    return met(kept.where("n = 1")).unionByName(often.agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*"))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all the strings on end, and where each begins (one more than strings)."""
     column = column.fill_null("") if column.null_count else column

@@ -6,7 +6,8 @@ the number of rows. The exchange of a round is dealt by block and digest, so tha
 enters it has been combined where it lies: a text that makes up a third of all rows moves once for each task.
 
 Defined results. Null text: empty. Null id: it never stays if another copy has an id; if none has, keep_id is null and
-all those rows are kept. Rows repeated in whole: all count in group_size, and each with the smallest id is kept.
+`kept` marks all those rows. Rows repeated in whole: all count in group_size, and `kept` marks each with the smallest id.
+Of the rows that `kept` marks for one text, `exact_dedup` returns one.
 Empty table: no rows. Extra columns: `exact_groups` leaves them out, `exact_dedup` returns them untouched.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, one_of_each
 
 #: Runs that a round merges into one, and the rounds before the last, which merges all that is left.
 FAN_IN, ROUNDS = 8, 2
@@ -53,7 +54,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, one of each text, with all their columns."""
     groups = exact_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__digest")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]) & (F.sha2(normalised(docs[text_col]), 256) == kept["__digest"]), "left_semi")
+    kept = groups.where("kept").groupBy(F.col(id_col).alias("k0"), F.col("text_sha256").alias("k1")).agg(F.count("*").alias("n"))
+    return one_of_each(docs, [docs[id_col], F.sha2(normalised(docs[text_col]), 256)], kept)

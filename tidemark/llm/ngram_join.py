@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ODD, bounded_batches, cut, keyed, mixed, pieces, span_hash, word_spans
+from tidemark.llm.common import ODD, bounded_batches, cut, keyed, mixed, one_of_each, pieces, span_hash, word_spans
 from tidemark.llm.components import components
 
 WORDS, THRESHOLD = 5, 75
@@ -378,7 +378,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def _linked(rows: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(id, mark, n_shingles, component_id)."""
+    """(id, mark, n_shingles, component_id, component)."""
     counted = cut(_counted(rows, words))
     docs = counted.where("node is not null")
     if not docs.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x != y").isEmpty():
@@ -386,13 +386,16 @@ def _linked(rows: DataFrame, words: int, threshold: int) -> DataFrame:
     known = links(rows, counted, words, threshold)
     docs = cut(docs.join(known, "node", "left").select("id", "mark", "n", F.coalesce("component", "node").alias("component"), F.xxhash64(F.coalesce("component", "node")).alias("h")))
     least = docs.where("n > 0").groupBy("component").agg(F.min("id").alias("least")).withColumn("h", F.xxhash64("component"))
-    return docs.join(least, ["h", "component"], "left").select("id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return docs.join(least, ["h", "component"], "left").select("id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "component")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component, the one with the smallest id."""
+    """The rows of docs that stay, with all their columns: of each component one row, with the smallest id; of rows without words, one of each id."""
     bounded_batches(docs.sparkSession)
-    kept = _linked(keyed(docs, id_col, text_col), words, threshold).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    rows = cut(_linked(keyed(docs, id_col, text_col), words, threshold))
+    each = rows.groupBy("component", "n_shingles", "id", "mark").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "n")
+    first = each.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("k")).select("k.id", "k.mark", "k.n")
+    kept = first.unionByName(each.where("n_shingles = 0").groupBy("id", "mark").agg(F.sum("n").alias("n")))
     mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_semi")
+    return one_of_each(docs, [docs[id_col], mark], kept.select(F.col("id").alias("k0"), F.col("mark").alias("k1"), "n"))
