@@ -152,7 +152,7 @@ def test_toxicity_held_out(spark):
 def toxic_rows(n, long=0):
     """(docs, labels): every third is toxic; of each label, the first `long` have 8,000 words."""
     rnd = random.Random(9)
-    voc = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "se", "ti") for c in ("po", "qu", "ve", "xa")]
+    voc = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(2000)]  # so many that rows are no near copies
     docs, labels = [], []
     for k in range(n):
         size = 8000 if k // 3 < long and k % 3 < 2 else rnd.randint(20, 60)
@@ -175,6 +175,17 @@ def test_toxicity_learns_beside_very_long_rows(spark):
     assert toxicity._longest([(5, 2), (100, 1)], 30) == 20 and toxicity._longest([(5, 2)], 30) == 5 and toxicity._longest([], 30) == 1
 
 
+def test_toxicity_bears_wrong_labels(spark):
+    docs, labels = toxic_rows(600)
+    flipped = {3, 300, 100, 401}  # two toxic rows labelled clean, two clean ones toxic
+    noisy = [(i, 1 - t if i in flipped else t) for i, t in labels]
+    d = spark.createDataFrame(docs, "id bigint, text string").withColumn("text", F.when(F.col("id").isin(3, 300), F.concat("text", F.lit(" vileword badterm grimnoun"))).otherwise(F.col("text")))
+    model = toxicity.fit(d, spark.createDataFrame(noisy, "id bigint, toxic int"))
+    got = {r["id"]: r for r in toxicity.predicted(d, model, "id", spans=True).collect()}
+    wrong = [i for i, t in labels if (got[i]["score"] >= toxicity.THRESHOLD) != bool(t) or bool(got[i]["spans"]) != bool(t)]
+    assert len(wrong) <= 6
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     e, pair, fresh = rng.normal(size=6), rng.normal(size=(2, 2)), np.array([1, 0, 0, 1, 0, 0], bool)

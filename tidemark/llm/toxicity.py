@@ -5,11 +5,11 @@ to `TABLE` weights; two neighbouring tags have a weight for each pair. Forward-b
 a document's score is a logistic function of the marginals' sum, largest and density. Words whose marginal is at least
 one half make up the offending spans.
 
-Labels are of documents, so the training words are tagged first: a feature that occurs in toxic documents alone, more
-often than chance would have it over all features seen, tags the words of toxic documents that have it. The field and
+Labels are of documents, so the training words are tagged first: a feature that occurs in toxic documents, more
+often than chance would have it over all features seen, and in hardly any clean ones (`CLEAN_SHARE`), tags the words of toxic documents that have it. The field and
 the document's function are then fitted on the driver by gradient descent, on a bounded sample: about `TRAIN_ROWS`
 labelled rows at most for each label, of about `TRAIN_WORDS` words together, half of them for each label. Where a label's rows have more, its longest
-give a run of words at a place drawn by hash, all runs of one length; no row is left out for its length. Scoring covers whole texts, on Spark tasks of bounded batches.
+give a run of words at a place drawn by hash, all runs of one length; no row is left out for its length. The document's function sees the sampled rows whole, on Spark tasks. Scoring covers whole texts, on Spark tasks of bounded batches.
 
 Defined results. Null or empty text: no words, the score that no evidence gives. No labelled row, or one label only:
 score 0 everywhere. Null labels: not learned from; two labels for an id: both count. Null ids, repeated rows: each row is
@@ -241,19 +241,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
                 runs.append(found[:, a : min(b, a + most[t])].tobytes())
             yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "toxic": rows.column("toxic"), "f": pa.array(runs, pa.binary())})
 
-    got = [(r[1], np.frombuffer(r[2], np.int32).reshape(len(AFFIXES), -1)) for r in sorted(rows.mapInArrow(places, "u bigint, toxic int, f binary").toLocalIterator(), key=lambda r: (r[0], r[1]))]
+    got = [((r[0], r[1]), np.frombuffer(r[2], np.int32).reshape(len(AFFIXES), -1)) for r in sorted(rows.mapInArrow(places, "u bigint, toxic int, f binary").toLocalIterator(), key=lambda r: (r[0], r[1]))]
     got = _without_copies(got)
+    drawn = {label for label, _ in got}
+    got = [(toxic, f) for (_, toxic), f in got]
     toxic = np.array([t for t, _ in got])
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     f = np.concatenate([x for _, x in got], 1)
     of = np.repeat(np.arange(len(got)), [x.shape[1] for _, x in got])
-    # Tags of the training words: by features that only toxic documents have, more often than chance over all features.
+    # Tags of the training words: by features that hardly any clean document has (a wrong label may be among them), more often than chance over all features.
     seen = [np.unique(x) for _, x in got]
     n_all = np.bincount(np.concatenate(seen), minlength=TABLE)
     n_toxic = np.bincount(np.concatenate([s for s, t in zip(seen, toxic) if t]), minlength=TABLE)
     rate = toxic.mean()
-    telling = (n_toxic == n_all) & (n_toxic * -np.log(rate) > np.log(max(2, (n_all > 1).sum())))
+    share = np.clip(n_toxic / np.maximum(n_all, 1), 1e-9, 1 - 1e-9)
+    surprise = n_all * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))  # bound of the binomial tail
+    telling = (share > rate) & (surprise > np.log(max(2, (n_all > 1).sum()))) & ((n_all - n_toxic - 1) * CLEAN_SHARE <= n_toxic)
     telling = _confirmed(docs, labels, telling)
     tag = telling[f].any(0) & (toxic[of] == 1)
     fresh = np.ones(len(of), bool)
@@ -279,9 +283,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     table = np.zeros(TABLE, np.float32)
     table[used] = x[:-5]
     model = Model(table, float(x[-5]), x[-4:].reshape(2, 2), np.zeros(4))
-    p = marginals(table[f].sum(0) + model.bias, fresh, model.pair)
-    seen_by = evidence(p, of, len(got))
-    z, y = np.concatenate([seen_by, np.ones((len(got), 1))], 1), toxic.astype(float)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def seen_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in pieces(batches):
+            p, _, _, of = shared.value.words(data, offsets)
+            x = evidence(p, of, rows.num_rows)
+            yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "toxic": rows.column("toxic"), **{c: pa.array(x[:, k]) for k, c in enumerate("abc")}})
+
+    # The document's function sees whole texts, as it does in scoring: a run of a long text would have less evidence than the text.
+    whole = [r for r in sorted(rows.mapInArrow(seen_by, "u bigint, toxic int, a double, b double, c double").toLocalIterator()) if (r[0], r[1]) in drawn]
+    z, y = np.array([[*r[2:], 1.0] for r in whole]), np.array([float(r[1]) for r in whole])
     # Each label weighs what it weighs among all labelled rows, however much of it the sample has.
     weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum()) / (counts[0] + counts[1])
     model.weights = _adam(lambda w: z.T @ ((1 / (1 + np.exp(-np.clip(z @ w, -30, 30))) - y) * weight) + 1e-4 * w, np.zeros(z.shape[1]), 600, 0.1)
