@@ -299,23 +299,12 @@ def test_repeated_strings(spark, monkeypatch, most):
         assert got[i]["kept_sha256"] == hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
 
 
-def test_jaccard_join(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PAIR_COLUMN", 4)
-    rnd = random.Random(3)
-    voc = [f"w{k}" for k in range(300)]
-    base = [rnd.choice(voc) for _ in range(100)]
-    rows = []
-    for k in range(25):
-        x = base[:]
-        for _ in range(rnd.randint(0, 4)):
-            x[rnd.randrange(len(x))] = rnd.choice(voc)
-        rows.append((k, " ".join(x)))
-    rows += [(100 + k, " ".join(base[:40] + [rnd.choice(voc) for _ in range(rnd.randint(0, 30))])) for k in range(20)]
-    rows += [(200, None), (201, ""), (202, "a b"), (203, "A  B"), (204, "a b c"), (205, "a b")]
+def brute_components(rows, words=5):
+    """{id: (n-grams, component)} by comparing all pairs; ids are different."""
     sets = {}
     for i, t in rows:
         w = (t or "").lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
     root = {i: i for i in sets}
 
     def find(i):
@@ -328,8 +317,50 @@ def test_jaccard_join(spark, monkeypatch):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("seed,small", [(3, True), (4, True), (5, False)])
+def test_jaccard_join(spark, monkeypatch, seed, small):
+    if small:  # several row blocks, and dense products, in small data
+        for name, value in {"ROWS": 8, "ENTRIES": 60, "NARROW": 4, "DENSE": 8}.items():
+            monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(seed)
+    voc = [f"w{k}" for k in range(300)]
+    base = [rnd.choice(voc) for _ in range(100)]
+    rows = []
+    for k in range(40):  # near copies, and some that are not near enough
+        x = base[:]
+        for _ in range(rnd.randint(0, 8)):
+            x[rnd.randrange(len(x))] = rnd.choice(voc)
+        rows.append((k, " ".join(x)))
+    rows += [(100 + k, " ".join(base[:40] + [rnd.choice(voc) for _ in range(rnd.randint(0, 30))])) for k in range(60)]  # a passage of more than 32 unlinked sets
+    rows += [(200, None), (201, ""), (202, "a b"), (203, "A  B"), (204, "a b c"), (205, "a b")]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(frame(spark, rows)).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+    assert got == brute_components(rows)
+    assert len(set(got.values())) > 20 and max(Counter(c for _, c in got.values()).values()) > 20
+
+
+def test_jaccard_join_of_odd_tables(spark):
+    assert ngram_join.linked(frame(spark, [])).count() == 0 and ngram_join.without_near_copies(frame(spark, []).withColumn("__id", F.lit(1))).count() == 0
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text), (7, text), (7, text), (None, None), (8, "é" * 9000 + " x"), (9, text + " more")]
+    got = Counter(map(tuple, ngram_join.linked(frame(spark, rows)).collect()))
+    assert got == Counter([(None, 26, 7), (7, 26, 7), (7, 26, 7), (None, 0, None), (8, 1, 8), (9, 27, 7)])
+    left = ngram_join.without_near_copies(frame(spark, rows).withColumn("__id", F.lit(1)).withColumn("__mark", F.lit(1)).withColumn("k0", F.lit(1)))
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter([7, None, 8])
+
+
+def test_prefix_bound():
+    """Linked sets share least_shared at least of their first n-grams in any order."""
+    rnd = random.Random(2)
+    for _ in range(3000):
+        n = rnd.randint(1, 60)
+        a = set(rnd.sample(range(100), n))
+        b = set(list(a)[rnd.randint(0, n // 4) :]) | set(rnd.sample(range(100), rnd.randint(0, n // 4)))
+        if b and 100 * len(a & b) >= 75 * len(a | b):
+            first = [set(sorted(x)[: ngram_join.prefix_size(len(x))]) for x in (a, b)]
+            assert len(first[0] & first[1]) >= ngram_join.least_shared(len(a), len(b)) >= 1
 
 
 def test_components(spark):

@@ -23,7 +23,6 @@ told apart by their text. Empty table: no rows. Extra columns: left out.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ODD, bounded_batches, cut, keyed, mixed, pieces, sliding_min, span_hash, utf8
+from tidemark.llm.common import ODD, bounded_batches, cut, keyed, mixed, pieces, settled, sliding_min, span_hash, utf8
 
 MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_RUN = 5, 24, 256, 120
 GEAR = (mixed(np.arange(256, dtype=np.uint64) * ODD[10] + ODD[11]) >> np.uint64(32)).astype(np.uint32)
@@ -132,7 +131,7 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    bounded_batches(docs.sparkSession, 500)
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     found = repeats(rows).withColumnRenamed("id", "own_id")
     return rows.join(found, F.col("id").eqNullSafe(F.col("own_id")) & (rows["mark"] == found["mark"]), "left").select("id", "text", "places")
@@ -170,22 +169,14 @@ def _anchored(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark bigint, at bigint, h bigint")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df by way of a checkpoint. The shuffles it took are no longer needed, but lie on disk until the driver collects its garbage."""
-    df = cut(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
 def _sought(rows: DataFrame) -> DataFrame:
     """(id, mark, matches): for each row with anchors that another text or place has first, what to compare it with: the first text's id and mark, how much later the row's bytes stand, the anchors, and the part of the first text around them."""
     found = _anchored(rows)
-    often = _settled(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("first")).where("n > 1").drop("n"))
+    often = settled(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("first")).where("n > 1").drop("n"))
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
     later = found.join(often, "h").where(~own | (F.col("at") - F.col("first.at") >= MIN_RUN))
     lines = later.groupBy("id", "mark", F.col("first.id").alias("of_id"), F.col("first.mark").alias("of_mark"), (F.col("at") - F.col("first.at")).alias("shift"))
-    lines = _settled(lines.agg(F.sort_array(F.collect_set("at")).alias("ats")))
+    lines = settled(lines.agg(F.sort_array(F.collect_set("at")).alias("ats")))
     texts = rows.select(F.col("id").alias("t_id"), F.col("mark").alias("t_mark"), F.col("text").alias("t_text"))
     met = lines.join(texts, F.col("of_id").eqNullSafe(F.col("t_id")) & (F.col("of_mark") == F.col("t_mark")))
     begin = F.greatest(F.lit(0), F.element_at("ats", 1) - F.col("shift") - _MARGIN)
@@ -225,7 +216,7 @@ def _equal_spans(own: np.ndarray, match: dict) -> list[tuple[int, int, int]]:
 
 def _extended(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
     """With texts, (id, kept) of every document; else (id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256)."""
-    bounded_batches(docs.sparkSession, 200)
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     sought = _sought(rows).withColumnRenamed("id", "own_id").withColumnRenamed("mark", "own_mark")
     joined = rows.join(sought, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left").select("id", "mark", "text", "matches")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -12,21 +13,26 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one pass of numpy works on; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 21
+#: Bytes of an Arrow batch, where rows are shorter.
+BATCH_BYTES = 1 << 22
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Arrow batches hold few enough rows that long texts fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Arrow batches hold at most `BATCH_BYTES`, so that long texts fit in a Python worker. A session that has a smaller bound keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: what the session names, else one for local runs."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. A session on one machine gets one of its own if it names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    elif named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
+    if not sc.getCheckpointDir():
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return named or sc.getCheckpointDir()
 
 
@@ -36,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df by way of a checkpoint. The shuffles it took are no longer needed, but lie on disk until the driver collects its garbage."""
+    df = cut(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
