@@ -60,21 +60,43 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("id"), text.alias("text")).select("id", F.xxhash64("text").alias("mark"), "text")
 
 
-def one_of_each(docs: DataFrame, key: list, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose key is one of kept's, one row of each key. kept: (k0, k1, .., n), the key's columns and the number of its rows."""
-    kept = cut(kept)
+#: Buckets of keys. Which of them hold a key that is sought is a bounded number, so it can be broadcast at any size of the tables.
+BUCKETS = 1 << 20
 
-    def met(some: DataFrame) -> DataFrame:
+
+def bucket(*key):
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS))
+
+
+def by_bucket(rows: DataFrame, key: list, sought: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be one of sought's (columns `names`), and those whose key is surely not. The second ones need no shuffle."""
+    name = "__bucket"
+    while name in rows.columns:
+        name += "_"
+    buckets = F.broadcast(cut(sought.select(bucket(*names).alias(name)).distinct()))
+    dealt = rows.withColumn(name, bucket(*key))
+    return dealt.join(buckets, name, "left_semi").drop(name), dealt.join(buckets, name, "left_anti").drop(name)
+
+
+def one_of_each(docs: DataFrame, key: list, every: DataFrame) -> DataFrame:
+    """The rows of docs whose key is kept, one row of each key. every: (k0, k1, .., n, kept), each key of docs, the number of its rows, and whether it is kept.
+
+    Rows that are kept for sure, as no key of their bucket is dropped or repeats, stay where they are; only others are shuffled.
+    """
+    doubtful = settled(every.where("not kept or n > 1"))
+    names = [f"k{i}" for i in range(len(key))]
+    some, sure = by_bucket(docs, key, doubtful, names)
+
+    def met(how: str, keys: DataFrame) -> DataFrame:
         same = F.lit(True)
         for i, column in enumerate(key):
-            same = same & column.eqNullSafe(some[f"k{i}"])
-        return docs.join(some, same, "left_semi")
+            same = same & column.eqNullSafe(keys[f"k{i}"])
+        return some.join(keys, same, how)
 
-    if kept.where("n > 1").isEmpty():
-        return met(kept)
+    once = met("left_anti", doubtful)
     # Only rows that repeat are grouped; they are combined where they lie.
-    often = met(kept.where("n > 1")).groupBy(*[column.alias(f"__k{i}") for i, column in enumerate(key)])
-    return met(kept.where("n = 1")).unionByName(often.agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*"))
+    often = met("left_semi", doubtful.where("kept")).groupBy(*[column.alias(f"__k{i}") for i, column in enumerate(key)])
+    return sure.unionByName(once).unionByName(often.agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import by_bucket, cut
+
 WINDOW, MAX_SUBSTITUTIONS = 12, 2
 #: The position groups that each mask looks at; it ignores the two others.
 MASKS = tuple(combinations(range(4), 2))
@@ -34,14 +36,15 @@ def word_hashes(text: Column) -> Column:
 
 
 def _windows(df: DataFrame, words: str, window: int) -> DataFrame:
-    """A row for each window of each row, at position `at`."""
-    return df.where(F.size(words) >= window).withColumn("at", F.explode(F.sequence(F.lit(0), F.size(words) - window)))
+    """A row for each window of each row: its position `at` and its words, in place of all words of the row."""
+    df = df.where(F.size(words) >= window).withColumn("at", F.explode(F.sequence(F.lit(0), F.size(words) - window)))
+    return df.withColumn(words, F.slice(words, F.col("at") + 1, window))
 
 
 def _seeds(df: DataFrame, words: str, window: int) -> DataFrame:
     """A row for each window and mask, with the hash of the positions that the mask looks at."""
-    at = [F.xxhash64(*[F.col(words)[F.col("at") + k] for k in range(group, window, 4)]) for group in range(4)]
-    df = df.select("*", *[h.alias(f"g{i}") for i, h in enumerate(at)])
+    groups = [F.xxhash64(*[F.col(words)[k] for k in range(group, window, 4)]) for group in range(4)]
+    df = df.select("*", *[h.alias(f"g{i}") for i, h in enumerate(groups)])
     masks = F.array(*[F.xxhash64(F.lit(m), F.col(f"g{i}"), F.col(f"g{j}")) for m, (i, j) in enumerate(MASKS)])
     return df.withColumn("seed", F.explode(masks)).drop("g0", "g1", "g2", "g3")
 
@@ -68,15 +71,18 @@ def overlaps(
 
     found = []
     if by_length.pop(window, 0):
-        sought = _seeds(_windows(items, "item_words", window), "item_words", window).select("item", F.slice("item_words", F.col("at") + 1, window).alias("sought"), "seed")
+        sought = _seeds(_windows(items, "item_words", window), "item_words", window).select("item", F.col("item_words").alias("sought"), "seed")
         hits = _seeds(_windows(texts, "words", window), "words", window).join(small(sought.distinct()), "seed")
-        equal = sum((F.when(F.col("words")[F.col("at") + k] == F.col("sought")[k], 1).otherwise(0) for k in range(window)), F.lit(0))
+        equal = sum((F.when(F.col("words")[k] == F.col("sought")[k], 1).otherwise(0) for k in range(window)), F.lit(0))
         found.append(hits.select("id", "item", "at", equal.alias("n_equal")).where(F.col("n_equal") >= window - max_substitutions))
-    for n in sorted(by_length):  # fewer than `window` lengths
-        whole = items.where(F.size("item_words") == n).select("item", F.xxhash64(*[F.col("item_words")[k] for k in range(n)]).alias("seed"), F.col("item_words").alias("sought"))
-        there = _windows(texts, "words", n).withColumn("seed", F.xxhash64(*[F.col("words")[F.col("at") + k] for k in range(n)]))
-        hits = there.join(small(whole.distinct()), "seed").where(F.slice("words", F.col("at") + 1, n) == F.col("sought"))
-        found.append(hits.select("id", "item", "at", F.lit(n).alias("n_equal")))
+    if by_length:  # fewer than `window` lengths: each position gives a hash for each of them, in one pass
+        whole = items.where(F.size("item_words").between(1, window - 1)).select("item", F.xxhash64("item_words").alias("seed"), F.col("item_words").alias("sought"))
+        there = texts.where(F.size("words") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+        there = there.withColumn("words", F.slice("words", F.col("at") + 1, max(by_length)))
+        runs = F.array(*[F.when(F.size("words") >= n, F.slice("words", 1, n)) for n in sorted(by_length)])
+        there = there.select("id", "at", F.explode(runs).alias("run")).where("run is not null").withColumn("seed", F.xxhash64("run"))
+        hits = there.join(small(whole.distinct()), "seed").where(F.col("run") == F.col("sought"))
+        found.append(hits.select("id", "item", "at", F.size("run").alias("n_equal")))
     if not found:
         return spark.createDataFrame([], texts.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias(item_col), F.lit(0).alias("n_equal"), F.lit(0).cast("bigint").alias("n_windows")).schema)
     every = found[0]
@@ -91,5 +97,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(text).alias("mark"), F.octet_length(text).alias("size")).alias("row"), text.alias("text"))
     leaked = overlaps(rows, benchmark, "row", "text").select(F.col("row.id").alias("__leaked"), F.col("row.mark").alias("__mark"), F.col("row.size").alias("__size")).distinct()
+    leaked = cut(leaked)
+    some, clean = by_bucket(docs, [docs[id_col], F.xxhash64(text)], leaked, ["__leaked", "__mark"])
     same = docs[id_col].eqNullSafe(leaked["__leaked"]) & (F.xxhash64(text) == leaked["__mark"]) & (F.octet_length(text) == leaked["__size"])
-    return docs.join(leaked, same, "left_anti")
+    return clean.unionByName(some.join(leaked, same, "left_anti"))

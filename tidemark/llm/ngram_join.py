@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import ODD, bounded_batches, cut, keyed, mixed, one_of_each, pieces, settled, span_hash, word_spans
+from tidemark.llm.common import ODD, bounded_batches, by_bucket, cut, keyed, mixed, one_of_each, pieces, settled, span_hash, word_spans
 from tidemark.llm.components import components
 
 WORDS, THRESHOLD = 5, 75
@@ -46,8 +46,6 @@ SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
 SIGNATURE_BITS = 2048
 #: Sets and entries of a row block; sets of a column whose pairs are listed; columns of one dense product; parts of a common column.
 ROWS, ENTRIES, NARROW, DENSE, SALTS = 1024, 100_000, 48, 2048, 64
-#: Buckets by which rows are dropped before they are shuffled to the pairs that need their texts.
-BUCKETS = 1 << 20
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -386,10 +384,8 @@ def _counted_in_whole(pairs: DataFrame, rows: DataFrame, places: DataFrame, word
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     there = cut(nodes.join(places, "node"))
-    # Buckets are a bounded number, so they are broadcast; most rows that no pair needs stay where they are.
-    bucket = lambda id_, mark: F.pmod(F.xxhash64(id_, mark), F.lit(BUCKETS))
-    sought = there.select(bucket("own_id", "own_mark").alias("bucket")).distinct()
-    texts = rows.withColumn("bucket", bucket("id", "mark")).join(F.broadcast(sought), "bucket", "left_semi")
+    # Most rows that no pair needs stay where they are.
+    texts, _ = by_bucket(rows, [rows["id"], rows["mark"]], there, ["own_id", "own_mark"])
     # One row of several that are the same in whole gives the text.
     texts = texts.join(there, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("node", "text")
     texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
@@ -441,7 +437,10 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = cut(_linked(keyed(docs, id_col, text_col), words, threshold))
     each = rows.groupBy("component", "n_shingles", "id", "mark").agg(F.count("*").alias("n"))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "n")
-    first = each.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("k")).select("k.id", "k.mark", "k.n")
-    kept = first.unionByName(each.where("n_shingles = 0").groupBy("id", "mark").agg(F.sum("n").alias("n")))
+    first = each.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("k")).select("k.id", "k.mark").withColumn("first", F.lit(True))
+    first = first.select(F.col("id").alias("k0"), F.col("mark").alias("k1"), "first")
+    every = each.groupBy(F.col("id").alias("k0"), F.col("mark").alias("k1")).agg(F.sum("n").alias("n"), F.max(F.col("n_shingles") == 0).alias("kept"))
+    same = every["k0"].eqNullSafe(first["k0"]) & (every["k1"] == first["k1"])
+    every = every.join(first, same, "left").select(every["k0"], every["k1"], "n", (F.col("kept") | F.col("first").isNotNull()).alias("kept"))
     mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return one_of_each(docs, [docs[id_col], mark], kept.select(F.col("id").alias("k0"), F.col("mark").alias("k1"), "n"))
+    return one_of_each(docs, [docs[id_col], mark], every)
