@@ -377,3 +377,49 @@ def test_warc_round_trip(spark):
     assert got == want
     with pytest.raises(ValueError, match="cut short"):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_warc_of_odd_tables(spark):
+    schema = "page_id bigint, url string, html string"
+    assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
+    pages = spark.createDataFrame([(1, "u", "z" * 200), (2, "v", "z" * 200)], schema).withColumn("digest", F.lit("d")).withColumn("id", F.lit(9)).withColumn("__bucket", F.lit(1))
+    assert {tuple(r)[3:] for r in warc.round_trip(pages).collect()} == {("response", None), ("revisit", 1)}
+
+
+def test_pipeline(spark, tmp_path):
+    """The stages in their order, over planted rows of each kind, repeated rows, shared and missing ids."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    docs, labels = toxic_rows(240)
+    rnd = random.Random(12)
+    passage = lambda n: " ".join("".join(rnd.choice("aeioulnrst") for _ in range(6)) for _ in range(n))
+    item, near = passage(30), passage(80)
+    planted = [(1000, docs[1][1]), (1001, docs[1][1].replace(" ", "  ")), (1002, near), (1003, near + " end"), (None, near), (1004, f"{passage(20)} {item} {passage(20)}")]
+    planted += [(1005, None), (1006, ""), (1007, passage(9)), (1007, passage(9)), (None, passage(11)), (1008, "idle"), (1008, "idle")]
+    rows = [(*r, i) for i, r in enumerate([*docs, *planted])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, k0 int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").withColumn("quality", F.lit(1)).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    toxic = {r["doc_id"] for r in toxicity.scored(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet"))).where("predicted = 1").collect()}
+    assert {i for i, t in labels if t} <= toxic | {i for i, t in labels if t and i % 4 == 2} and len(toxic) < 100
+    left, seen, sets = [], set(), []
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):  # of copies, the smallest id stays; no id comes last
+        norm = re.sub("[\x20\x09-\x0d]+", " ", t or "")
+        w = (t or "").lower().split()
+        grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+        if i in toxic or norm in seen or w and any(100 * len(grams & s) >= 75 * len(grams | s) for s in sets):
+            continue
+        seen.add(norm)
+        sets += [grams] if w else []
+        if item not in norm:
+            left.append((i, t or ""))
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer())
+    want = Counter((i, len(sp.encode(t)), hashlib.sha256(",".join(map(str, sp.encode(t))).encode()).hexdigest()) for i, t in left)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_tokens", "ids_sha256").collect()) == want
+    (tmp_path / "empty").mkdir()
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"empty/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0

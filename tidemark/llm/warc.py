@@ -4,11 +4,12 @@ Writing. A page is an HTTP response record whose block is an HTTP header and the
 Blocks longer than `SEGMENT_BYTES` are cut: the first record bears segment number 1, each further one is a
 `continuation` with its number and the identifier of the first (origin), the last one the block's total length. Of
 records with equal payloads of at least `REVISIT_BYTES`, that with the smallest id is the response, and the others are
-`revisit` records that name it and bear no payload. Archives are text files of Spark's own writer, one record after
-another, in a folder that all executors share.
+`revisit` records that name it and bear no payload. Which digests repeat is found without the payloads, and only pages whose digest may repeat
+are shuffled. Archives are text files of Spark's own writer, one record after another (so one gzip member a file), in a folder that all
+executors share; `round_trip` deletes them once they are read back.
 
-Reading. Each file is parsed by its records' Content-Length, continuation records are grouped by origin, ordered by
-segment number, checked for gaps and for the total length, and the chunked framing is decoded; the payload's digest
+Reading. Each file is parsed by its records' Content-Length. Records that are whole are decoded where they are; segments are grouped by origin, ordered by
+segment number, checked for gaps and for the total length. The chunked framing is decoded; the payload's digest
 must be the one declared. A revisit takes its payload's length from the response that it names.
 
 Defined results. Null payload: empty. Null url: an empty target. Null id: written as its own response, read back as
@@ -24,12 +25,13 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, cut, shared_dir
+from tidemark.llm.common import bounded_batches, by_bucket, cut, remove, shared_dir
 
 SEGMENT_BYTES, CHUNK_BYTES, REVISIT_BYTES = 16_384, 4_096, 100
 RECORDS_PER_FILE = 2_000
@@ -43,9 +45,9 @@ def digested(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
 
 
 def _responses(rows: DataFrame) -> DataFrame:
-    """(digest, response): the smallest (id, url) of each long payload."""
+    """(digest, response): the smallest (id, url) of each long payload that repeats."""
     long = rows.where((F.octet_length("payload") >= REVISIT_BYTES) & F.col("id").isNotNull())
-    return long.groupBy("digest").agg(F.min(F.struct("id", "url")).alias("response"))
+    return long.groupBy("digest").agg(F.min(F.struct("id", "url")).alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
 def _chunked(payload: str) -> str:
@@ -65,13 +67,13 @@ def _named(*of: object) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(repr(of).encode()).digest())}>"
 
 
-def records(id_: int | None, url: str, payload: str, digest: str, refers_to: int | None, refers_url: str | None) -> list[str]:
+def records(id_: int | None, url: str, payload: str, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> list[str]:
     """The records of one page, each a header and a block."""
     base = [f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page: {'' if id_ is None else id_}"]
     own = _named(id_, url, digest)
 
     def record(kind: str, name: str, fields: list[str], block: str) -> str:
-        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *fields, "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block.encode())}"]
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", *fields, "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block.encode())}"]
         return _END.join(head) + _END + _END + block
 
     http = f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Transfer-Encoding: chunked{_END}{_END}"
@@ -93,12 +95,16 @@ def records(id_: int | None, url: str, payload: str, digest: str, refers_to: int
     return out
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Archives of all pages under folder."""
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "") -> None:
+    """Archives of all pages under folder. date: when they were captured (now, if not given)."""
     spark = pages.sparkSession
     bounded_batches(spark)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = digested(pages, id_col, url_col, payload_col)
-    rows = rows.join(cut(_responses(rows)), "digest", "left")
+    responses = cut(_responses(rows))
+    some, single = by_bucket(rows, [rows["digest"]], responses, ["digest"])
+    kind = responses.schema["response"].dataType.simpleString()
+    rows = some.join(responses, "digest", "left").unionByName(single.withColumn("response", F.lit(None).cast(kind)))
     revisit = F.col("id") != F.col("response.id")
     rows = rows.select("id", "url", "payload", "digest", F.when(revisit, F.col("response.id")).alias("refers_to"), F.when(revisit, F.col("response.url")).alias("refers_url"))
 
@@ -106,7 +112,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                out.extend(records(**{"id_" if k == "id" else k: v for k, v in row.items()}))
+                out.extend(records(date=date, **{"id_" if k == "id" else k: v for k, v in row.items()}))
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
     text = rows.mapInArrow(run, "value string")
@@ -168,7 +174,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                 for at in range(0, len(found), 500):
                     yield pa.RecordBatch.from_pylist(found[at : at + 500], schema=_SCHEMA)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # whole files
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     return files.mapInArrow(run, _RECORD)
 
@@ -202,9 +208,13 @@ def reassembled(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=_WHOLE)
 
     first = F.col("kind") != "continuation"
-    one = {c: F.max(F.when(first, F.col(c))).alias(c) for c in ("kind", "id", "url", "digest", "refers_to", "refers_record")}
-    whole = found.groupBy("origin").agg(*one.values(), F.collect_list(F.struct("segment", "total", "block")).alias("parts"))
-    return whole.mapInArrow(run, "origin string, kind string, id bigint, url string, digest string, refers_to bigint, refers_record string, payload binary")
+    fields = ("kind", "id", "url", "digest", "refers_to", "refers_record")
+    part = F.struct("segment", "total", "block")
+    alone = found.where("segment = 0").select("origin", *fields, F.array(part).alias("parts"))
+    one = [F.max(F.when(first, F.col(c))).alias(c) for c in fields]
+    segmented = found.where("segment > 0").groupBy("origin").agg(*one, F.collect_list(part).alias("parts"))
+    kinds = "origin string, kind string, id bigint, url string, digest string, refers_to bigint, refers_record string, payload binary"
+    return alone.unionByName(segmented).mapInArrow(run, kinds)
 
 
 _WHOLE = pa.schema([("origin", pa.string()), ("kind", pa.string()), ("id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("refers_record", pa.string()), ("payload", pa.binary())])
@@ -218,6 +228,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     bounded_batches(spark)
     whole = reassembled(read_records(spark, folder))
     rows = cut(whole.select("origin", "kind", "id", "digest", "refers_to", "refers_record", F.octet_length("payload").cast("bigint").alias("size")))
+    remove(spark, folder)
     sizes = rows.where("kind = 'response'").select(F.col("origin").alias("refers_record"), F.col("size").alias("there")).distinct()
     out = rows.where("kind = 'response'").withColumn("there", F.col("size")).select("id", "there", "digest", "kind", "refers_to")
     back = rows.where("kind = 'revisit'").join(sizes, "refers_record", "left").select("id", "there", "digest", "kind", "refers_to")
