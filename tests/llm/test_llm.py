@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chunk_dedup, decontaminate, exact_dedup, langid, ngram_join, piece_bpe, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm.common import pieces, sliding_argmin
 from tidemark.llm.components import components
 from tidemark.llm.queries import tokenizer
 
@@ -274,9 +275,10 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("most", [16_384, 2])
-def test_repeated_strings(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, piece", [(16_384, 300), (2, 1 << 21)])
+def test_repeated_strings(spark, monkeypatch, most, piece):
     monkeypatch.setattr(suffix_dedup, "GROUP_SEGMENTS", most)
+    monkeypatch.setattr(suffix_dedup, "pieces", lambda batches: pieces(batches, limit=piece))
     rnd, length = random.Random(3), 64
     base = "".join(rnd.choice("abcdefgh é\n") for _ in range(1500))
     rows = []
@@ -287,14 +289,17 @@ def test_repeated_strings(spark, monkeypatch, most):
             x[rnd.randrange(len(x))] = "Z"
         rows.append((i, "".join(x) + "a" * (rnd.randint(0, 200) if i % 5 == 0 else 0) + "xyz " * (rnd.randint(0, 60) if i % 7 == 0 else 0)))
     rows += [(100, None), (101, ""), (102, "q" * 63), (103, "ab" * 100)]
-    seen = Counter(b[k : k + length] for b in ((t or "").encode() for _, t in rows) for k in range(len(b) - length + 1))
-    got = {r["doc_id"]: r for r in suffix_dedup.measured(frame(spark, rows), length=length).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup.measured(frame(spark, rows), length=length, short=48).collect()}
+    seen = {n: Counter(b[k : k + n] for b in ((t or "").encode() for _, t in rows) for k in range(len(b) - n + 1)) for n in (48, length)}
     for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
-        for k in range(len(b) - length + 1):
-            if seen[b[k : k + length]] > 1:
-                gone[k : k + length] = True
+        near = gone.copy()
+        for n, marks in ((48, near), (length, gone)):
+            for k in range(len(b) - n + 1):
+                if seen[n][b[k : k + n]] > 1:
+                    marks[k : k + n] = True
+        assert got[i]["n_repeated"] == near.sum() and got[i]["n_spans"] == (np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()
         assert (got[i]["n_bytes"], got[i]["n_removed"]) == (len(b), int(gone.sum()))
         assert got[i]["kept_sha256"] == hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
 
@@ -423,3 +428,18 @@ def test_pipeline(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"empty/{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_sliding_argmin():
+    rng = np.random.default_rng(1)
+    for n, width in ((0, 3), (5, 5), (40, 1), (60, 7), (100, 33)):
+        v = rng.integers(0, 6, n).astype(np.uint64)
+        assert sliding_argmin(v, width).tolist() == [k + int(np.argmin(v[k : k + width])) for k in range(n - width + 1)]
+
+
+def test_repeated_strings_of_odd_texts(spark):
+    """One letter a million times is one segment many times over; null ids and repeated rows are places of their own."""
+    rows = [(1, "a" * 1_000_000), (2, "a" * 399), (3, "ab" * 300_000), (None, "xyz" * 200), (4, "q" * 399 + "r"), (4, "q" * 399 + "r"), (None, None)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.measured(frame(spark, rows)).collect())
+    assert got == Counter([(1, 1_000_000, 1_000_000, 1), (2, 399, 0, 0), (3, 600_000, 600_000, 1), (None, 600, 600, 1), (4, 400, 400, 1), (4, 400, 400, 1), (None, 0, 0, 0)])
+    assert suffix_dedup.measured(frame(spark, [])).count() == 0

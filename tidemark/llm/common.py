@@ -165,6 +165,22 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(values) - width + 1], least[width - size : width - size + len(values) - width + 1])
 
 
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of every run of width values is; of equal ones, the leftmost."""
+    if len(values) < width:
+        return np.zeros(0, np.int32)
+    least, size = np.arange(len(values), dtype=np.int32), 1
+
+    def lesser(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.where(values[left] <= values[right], left, right)
+
+    while size * 2 <= width:
+        least = lesser(least[:-size], least[size:])
+        size *= 2
+    n = len(values) - width + 1
+    return lesser(least[:n], least[width - size : width - size + n])
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)

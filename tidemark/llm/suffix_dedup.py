@@ -3,8 +3,8 @@
 A byte goes if a string of `LENGTH` bytes covers it that also starts elsewhere in the corpus. What could be equal is
 brought together first. Every window of `LENGTH` bytes has a minimizer, its least-hashed run of `GRAM` bytes (the
 leftmost of equals), so equal windows have equal minimizers at equal places. Neighbouring windows with one minimizer make up a segment of
-less than 2 x LENGTH bytes. Segments whose minimizer occurs once are done with; segments that are equal as a whole are
-repeated as a whole; what is left are different segments of one minimizer, each kept once. These are dealt out by
+less than 2 x LENGTH bytes; equal segments next to each other (a text of one letter) are one row with their number. Segments whose minimizer occurs once
+are done with; segments that are equal as a whole are repeated as a whole; what is left are different segments of one minimizer, each kept once. These are dealt out by
 minimizer, and each task builds suffix arrays over batches of them.
 
 Suffix array (`suffix_array`). Segments are read in cells of `CELL` bytes, counted from the minimizer, so that equal
@@ -14,6 +14,10 @@ pointers. Afterwards one pass in the order of the suffixes puts each suffix at t
 pointers, with no recursion or renaming. Neighbours in the array that agree on the cells inside a window, and on
 the bytes before and after, are repeated windows.
 
+`measured` runs this twice: first for strings of `SHORT` bytes over all texts, which gives `n_repeated`, the bytes covered by a string of
+SHORT bytes that also starts elsewhere (a passage of some 50 words is shorter than LENGTH). A repeated string of LENGTH bytes is covered by repeated strings of SHORT
+bytes, so that the second run, for strings of LENGTH bytes, need only look at windows inside what the first one covered.
+
 A minimizer with more than `GROUP_SEGMENTS` different segments does not go to one task: its segments are split into
 their windows, which Spark counts by digest, combined where they lie.
 
@@ -32,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunk_dedup import without
-from tidemark.llm.common import BYTE, bounded_batches, cut, gram_hash, keyed, mixed, pieces, sliding_min, utf8
+from tidemark.llm.common import BYTE, bounded_batches, by_bucket, cut, gram_hash, keyed, mixed, pieces, settled, sliding_argmin, utf8
 
-LENGTH, GRAM_LEVELS, CELL = 400, 5, 16
+LENGTH, SHORT, GRAM_LEVELS, CELL = 400, 240, 5, 16
 GRAM = 1 << GRAM_LEVELS
 GROUP_SEGMENTS = 16_384
 BATCH_BYTES = 1_500_000
@@ -102,40 +106,63 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
+#: First byte, number of windows and place of the minimizer of a segment, in one number.
+_FIRST, _WINDOWS = 1 << 24, 1 << 12
+
+
 def segments(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(mini, f1, f2, id, mark, first, windows, anchor) of every segment: minimizer, digest, row, first byte, number of windows, and where in the segment the minimizer is."""
-    width = length - GRAM + 1
+    """(mini, f1, f2, id, mark, place, times) of every segment: minimizer, digest, row, where and what it is (`_FIRST`), how many equal ones stand one behind the other.
+
+    rows: (id, mark, text), with `spans` (begins and ends in turn) only the windows that lie inside what they cover.
+    """
+    width, within = length - GRAM + 1, "spans" in rows.columns
+
+    def covered(batch: pa.RecordBatch, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+        edge = np.zeros(int(offsets[-1]) + 1, np.int64)
+        for begin, spans in zip(offsets.tolist(), batch.column("spans").to_pylist()):
+            for a, b in merged(spans):
+                edge[begin + a] += 1
+                edge[begin + b] -= 1
+        total = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+        return total[at + length] - total[at] == length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches):
             h = gram_hash(BYTE[data], GRAM_LEVELS)
             if len(h) < width:
                 continue
-            bits = np.uint64(max(1, len(data)).bit_length())
-            low = (np.uint64(1) << bits) - np.uint64(1)
-            least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), width)
-            at = np.flatnonzero(np.repeat(np.append(np.diff(offsets), 0), np.append(np.diff(offsets), 0)) >= length) if len(offsets) > 1 else np.zeros(0, np.int64)
+            size = np.diff(offsets)
+            at = np.flatnonzero(np.repeat(size, size) >= length)
             row = np.searchsorted(offsets, at, "right") - 1
             fits = at + length <= offsets[row + 1]
             at, row = at[fits], row[fits]
+            if within:
+                fits = covered(batch, offsets, at)
+                at, row = at[fits], row[fits]
             if not len(at):
                 continue
-            anchor = (least[at] & low).astype(np.int64)
+            anchor = sliding_argmin(h, width)[at].astype(np.int64)
             new = np.ones(len(at), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+            new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
             begin = np.flatnonzero(new)
             windows = np.diff(np.append(begin, len(at)))
-            first = at[begin]
+            first, own = at[begin], row[begin]
             view = data.tobytes()
-            digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + windows + length - 1).tolist())])
-            f = np.frombuffer(digests, np.int64).reshape(-1, 2)
-            of = pa.array(row[begin])
+            digests = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + windows + length - 1).tolist())]
+            f = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            mini, shift = h[anchor[begin]].view(np.int64), anchor[begin] - first
+            same = np.zeros(len(first), bool)
+            same[1:] = (f[1:] == f[:-1]).all(1) & (mini[1:] == mini[:-1]) & (shift[1:] == shift[:-1]) & (own[1:] == own[:-1]) & (first[1:] == first[:-1] + windows[:-1])
+            head = np.flatnonzero(~same)
+            times = np.diff(np.append(head, len(first)))
+            place = (first - offsets[own]) * _FIRST + windows * _WINDOWS + shift
+            of = pa.array(own[head])
             yield pa.RecordBatch.from_pydict({
-                "mini": h[anchor[begin]].view(np.int64), "f1": f[:, 0].copy(), "f2": f[:, 1].copy(), "id": batch.column("id").take(of), "mark": batch.column("mark").take(of),
-                "first": (first - offsets[row[begin]]).astype(np.int64), "windows": windows.astype(np.int32), "anchor": (anchor[begin] - first).astype(np.int32),
+                "mini": mini[head], "f1": f[head, 0].copy(), "f2": f[head, 1].copy(), "id": batch.column("id").take(of), "mark": batch.column("mark").take(of),
+                "place": place[head].astype(np.int64), "times": times.astype(np.int64),
             })
 
-    return rows.mapInArrow(run, f"mini bigint, f1 bigint, f2 bigint, id {rows.schema['id'].dataType.simpleString()}, mark bigint, first bigint, windows int, anchor int")
+    return rows.mapInArrow(run, f"mini bigint, f1 bigint, f2 bigint, id {rows.schema['id'].dataType.simpleString()}, mark bigint, place bigint, times bigint")
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -249,43 +276,56 @@ def _found_in_windows(members: DataFrame, length: int) -> DataFrame:
     return at.select("f1", "f2", F.flatten(F.transform("at", lambda k: F.array(k, k + 1))).alias("runs"))
 
 
+def _recurring(rows: DataFrame, length: int) -> DataFrame:
+    """The segments whose minimizer occurs more than once."""
+    found = cut(segments(rows, length))
+    # Checkpointed, so that the join has an exchange on both sides and Spark can split hot minimizers.
+    minis = settled(found.groupBy("mini").agg(F.sum("times").alias("n")).where("n > 1").select("mini", F.xxhash64("mini").alias("h")))
+    return cut(found.withColumn("h", F.xxhash64("mini")).join(minis, ["h", "mini"]).drop("h"))
+
+
 def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, mark, spans): for each row (id, mark, text) with repeated strings, begins and ends of what they cover, in turn, not yet merged."""
-    found = cut(segments(rows, length))
-    kinds = found.groupBy("mini", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "first", "windows", "anchor")).alias("one"))
-    minis = found.groupBy("mini").agg(F.count("*").alias("n_all")).where("n_all > 1")
-    # Checkpointed, so that the joins with all segments have an exchange on both sides and Spark can split hot minimizers.
-    kinds = cut(kinds.join(cut(minis.drop("n_all")), "mini"))
+    found = settled(_recurring(rows, length))
+    kinds = cut(found.groupBy("mini", "f1", "f2").agg(F.sum("times").alias("n"), F.min(F.struct("id", "mark", "place")).alias("one")))
     whole = kinds.where("n > 1").select("f1", "f2", F.lit(None).cast("array<int>").alias("runs"))
     shared = cut(kinds.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     wanted = kinds.join(shared, "mini").select("mini", "f1", "f2", "kinds", "n", "one.*")
-    places = wanted.groupBy(F.col("id").alias("own_id"), F.col("mark").alias("own_mark")).agg(F.collect_list(F.struct("mini", "f1", "f2", "kinds", "first", "windows", "anchor")).alias("wanted"))
+    asked = F.collect_list(F.struct("mini", "f1", "f2", "kinds", "place")).alias("wanted")
+    places = cut(wanted.groupBy(F.col("id").alias("own_id"), F.col("mark").alias("own_mark")).agg(asked))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("mini", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("kinds", pa.int64()), ("anchor", pa.int32()), ("body", pa.binary())])
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            out: dict[str, list] = {c: [] for c in ("mini", "f1", "f2", "kinds", "anchor", "body")}
+            out: dict[str, list] = {c: [] for c in schema.names}
             for k, wanted in enumerate(batch.column("wanted").to_pylist()):
                 raw = data[offsets[k] : offsets[k + 1]].tobytes()
                 for w in wanted:
-                    out["body"].append(raw[w["first"] : w["first"] + w["windows"] + length - 1])
-                    for c in ("mini", "f1", "f2", "kinds", "anchor"):
+                    first, shape = divmod(w["place"], _FIRST)
+                    windows, anchor = divmod(shape, _WINDOWS)
+                    out["anchor"].append(anchor)
+                    out["body"].append(raw[first : first + windows + length - 1])
+                    for c in ("mini", "f1", "f2", "kinds"):
                         out[c].append(w[c])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("mini", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("kinds", pa.int64()), ("anchor", pa.int32()), ("body", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     # One row of several that are the same in whole holds the bytes.
-    texts = rows.join(places, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("text", "wanted")
-    members = cut(texts.mapInArrow(bodies, "mini bigint, f1 bigint, f2 bigint, kinds bigint, anchor int, body binary"))
+    some, _ = by_bucket(rows, [rows["id"], rows["mark"]], places, ["own_id", "own_mark"])
+    texts = some.join(places, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("text", "wanted")
+    members = settled(texts.mapInArrow(bodies, "mini bigint, f1 bigint, f2 bigint, kinds bigint, anchor int, body binary"))
     hot = members.where(F.col("kinds") > GROUP_SEGMENTS)
     parts = _found_in_groups(members.where(F.col("kinds") <= GROUP_SEGMENTS), length)
     if not hot.isEmpty():
         parts = parts.unionByName(_found_in_windows(hot, length))
     parts = parts.join(whole.select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(whole)
     # A segment's runs are of its windows; null stands for all of them.
-    parts = cut(parts.groupBy("f1", "f2").agg(F.first("runs").alias("runs")))
-    hits = found.join(parts, ["f1", "f2"]).select("id", "mark", F.coalesce(F.transform("runs", lambda k: k.cast("bigint")), F.array(F.lit(0).cast("bigint"), F.col("windows").cast("bigint"))).alias("runs"), "first")
+    parts = settled(parts.groupBy("f1", "f2").agg(F.first("runs").alias("runs")))
+    first, windows = F.expr(f"place div {_FIRST}"), F.expr(f"place % {_FIRST} div {_WINDOWS}") * F.col("times")
+    runs = F.coalesce(F.transform("runs", lambda k: k.cast("bigint")), F.array(F.lit(0).cast("bigint"), windows))
+    hits = found.join(parts, ["f1", "f2"]).select("id", "mark", runs.alias("runs"), first.alias("first"))
     ends = F.transform("runs", lambda k, i: F.col("first") + k + F.when(i % 2 == 1, F.lit(length - 1)).otherwise(F.lit(0)))
-    return hits.select("id", "mark", ends.alias("spans")).groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return settled(hits.select("id", "mark", ends.alias("spans")).groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def merged(spans: list[int] | None) -> list[tuple[int, int]]:
@@ -299,25 +339,37 @@ def merged(spans: list[int] | None) -> list[tuple[int, int]]:
     return out
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every document; with texts, also kept (binary)."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, short: int = SHORT, texts: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated) of every document; with texts, also kept (binary)."""
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    found = repeated(rows, length).withColumnRenamed("id", "own_id")
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("own_id")) & (rows["mark"] == found["mark"]), "left").select("id", "text", "spans")
+
+    def with_spans(some: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
+        found = found.select(F.col("id").alias("own_id"), F.col("mark").alias("own_mark"), F.col("spans").alias(name))
+        met = some.join(found, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), how)
+        return met.drop("own_id", "own_mark")
+
+    near = repeated(rows, min(short, length))
+    some, sure = by_bucket(rows, [rows["id"], rows["mark"]], near, ["id", "mark"])
+    # Only documents with repeated strings are shuffled and looked at again.
+    some = settled(with_spans(some, near, "near", "left"))
+    far = repeated(some.where("near is not null").withColumnRenamed("near", "spans"), length)
+    none = F.lit(None).cast("array<bigint>")
+    joined = with_spans(some, far, "spans", "left").unionByName(sure.withColumn("near", none).withColumn("spans", none)).select("id", "text", "near", "spans")
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_repeated": pa.int64(), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
+            out: dict[str, list] = {c: [] for c in kinds}
+            for k, (near, spans) in enumerate(zip(batch.column("near").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
                 raw = data[offsets[k] : offsets[k + 1]].tobytes()
                 gone = merged(spans)
                 kept = without(raw, gone)
-                for c, v in zip(out, (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                row = (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in merged(near)), kept)
+                for c, v in zip(out, row, strict=True):
                     out[c].append(v)
-            kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
             yield pa.RecordBatch.from_pydict({"id": batch.column("id")} | {c: pa.array(v, kinds[c]) for c, v in out.items() if texts or c != "kept"})
 
-    schema = f"id {joined.schema['id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * texts
-    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    columns = f"id {joined.schema['id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_repeated bigint"
+    return joined.mapInArrow(run, columns + ", kept binary" * texts).withColumnRenamed("id", id_col)
