@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one pass of numpy works on; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 #: Bytes of an Arrow batch, where rows are shorter.
 BATCH_BYTES = 1 << 22
 

@@ -27,7 +27,7 @@ from tidemark.llm.common import bounded_batches
 
 SPACE_MARK = "▁"
 #: Words whose encodings a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS, KEPT_LENGTH = 150_000, 64
 
 
 class PieceTable:
@@ -170,7 +170,8 @@ class _Words(dict):
         else:
             ids = table.encode_word(word)
             found = (",".join([str(i) for i in ids]), table.joined(ids))
-        self[word] = found
+        if len(word) <= KEPT_LENGTH:
+            self[word] = found
         return found
 
 
