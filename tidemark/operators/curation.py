@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,15 @@ def curated(ranking: DataFrame, memories: DataFrame, dead: DataFrame, successors
         F.min(F.when(redirected, F.struct("rank", "id", "preview"))).alias("via"),
     )
     return best.join(memories.select("id"), "id", "left_semi").select("id", "rank", "score", F.col("via.id").alias("via_id"), F.col("via.preview").alias("via_preview"))
+
+
+def context_curated(ranking: DataFrame, memories: DataFrame, dead: DataFrame, successors: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """A context's variant of `curated`: a successor that stands in has to be of the wanted types itself, and via_id is of the first hit that became the record, if that one was redirected."""
+    gone = dead.select("id").distinct()
+    rows = ranking.join(gone, "id", "left_anti").join(successors, "id", "left")
+    rows = rows.join(gone.select(F.col("id").alias("successor")), "successor", "left_anti")
+    rows = rows.select(F.coalesce("successor", "id").alias("id"), F.when(F.col("successor").isNotNull(), F.col("id")).alias("via_id"), "rank", "score")
+    rows = rows.join(memories.select("id", "memory_type"), "id")
+    if types:
+        rows = rows.where(F.col("via_id").isNull() | F.col("memory_type").isin(*types))
+    return rows.groupBy("id").agg(F.min_by(F.struct("rank", "score", "via_id"), "rank").alias("r")).select("id", "r.*")

@@ -16,11 +16,11 @@ def neighbourhood(relationships: DataFrame, root, depth: int = 2, relation: str
     both = out.unionByName(back)
     start = edges.select(F.lit(root).alias("id")).limit(1)
     frontier = seen = start.select("id")
-    found = None
+    found = both.where(F.lit(False)).select("id", "relation_type", "direction", F.lit(0).alias("depth"))
     for level in range(1, depth + 1):
         met = both.join(frontier.select(F.col("id").alias("at")), "at", "left_semi").join(seen, "id", "left_anti")
         new = kept(met.groupBy("id").agg(F.min_by(F.struct("relation_type", "direction"), F.struct("turn", "edge")).alias("r")).select("id", "r.*", F.lit(level).alias("depth")))
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new)
         frontier = new.select("id")
         seen = seen.unionByName(frontier)
     return found

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import clock, curation, ranking, scope
+from tidemark.operators.keyword_index import Index
+
+
+def _keywords(memories: DataFrame, text: str, index: Index | None) -> DataFrame:
+    """(id, score) of the keyword hits in all records: from the index, or from the texts if there is none."""
+    return ranking.bm25(memories, text) if index is None else index.bm25(text)
 
 
 def _similar(memories: DataFrame, embeddings: DataFrame, vector: Sequence[float]) -> DataFrame:
@@ -24,23 +30,19 @@ def _page(rows: DataFrame, memories: DataFrame, dead, successors, limit: int, of
     return curation.curated(ordered, memories, dead, successors).orderBy("rank", "id").offset(offset).limit(limit).select("id", "score", "via_id")
 
 
-def query(memories: DataFrame, embeddings: DataFrame, text: str, vector: Sequence[float], project: str, mode: str = "hybrid", branch: Column | None = None, types=None, tags=None, min_relevance: float = 0.1, limit: int = 10, offset: int = 0, dead: DataFrame | None = None, successors: DataFrame | None = None) -> DataFrame:
-    """(id, score): (base + tag boost) x decay value; the base is cosine, a pseudo score of the keyword rank, or both fused.
+def scored(memories: DataFrame, embeddings: DataFrame, text: str, vector: Sequence[float], project: str, mode: str = "hybrid", branch: Column | None = None, types=None, tags=None, min_relevance: float = 0.1, hits: int = 50, index: Index | None = None) -> DataFrame:
+    """(id, score) of every record that a query finds: (base + tag boost) x decay value; the base is cosine, a pseudo score of the keyword rank, or both fused.
 
-    Vectors rank over all records that the project sees; keywords over the project's own on the branch, statistics over the whole store.
-    Only the best 5 x limit keyword hits take part. Without text, records come by decay value.
+    Vectors rank over all records that the project sees; keywords over the project's own on the branch, statistics over the whole store. Only the best `hits` of them take part.
     """
     branch = F.lit(True) if branch is None else branch
-    if not text.strip():
-        return scope.filtered(memories, project, branch, types, tags, min_relevance, limit, offset).select("id", F.col("relevance_score").alias("score"))
-    seen = memories.where(scope.in_project(project, with_global=True))
     lists, base = {}, None
     if mode in ("vector", "hybrid"):
-        near = _similar(seen, embeddings, vector)
+        near = _similar(memories.where(scope.in_project(project, with_global=True)), embeddings, vector)
         lists["v"] = near if mode == "vector" else ranking.ranked(near, "cosine", "rank").select("id", "rank")
     if mode in ("bm25", "hybrid"):
-        words = ranking.bm25(memories, text).join(memories.where(scope.in_project(project) & branch).select("id"), "id", "left_semi")
-        top = words.orderBy(F.desc("score"), "id").limit(5 * limit)  # at most 5 x limit rows are numbered in one task
+        words = _keywords(memories, text, index).join(memories.where(scope.in_project(project) & branch).select("id"), "id", "left_semi")
+        top = words.orderBy(F.desc("score"), "id").limit(hits)  # at most so many rows are numbered in one task
         lists["k"] = top.select("id", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).cast("bigint").alias("rank"))
     if mode == "vector":
         base = lists["v"].select("id", F.col("cosine").alias("base"))
@@ -50,12 +52,20 @@ def query(memories: DataFrame, embeddings: DataFrame, text: str, vector: Sequenc
         base = ranking.fused([lists["v"], lists["k"]]).select("id", F.col("score").alias("base"))
     rows = base.join(memories, "id").where(branch & scope.matching(types, tags, min_relevance))
     score = (F.col("base") + ranking.tag_boost(ranking.query_words(text))) * F.col("relevance_score")
-    return _page(rows.select("id", score.alias("score")), memories, dead, successors, limit, offset)
+    return rows.select("id", score.alias("score"))
 
 
-def query_linear(memories: DataFrame, embeddings: DataFrame, text: str, vector: Sequence[float], project: str, branch: Column | None = None, min_score: float = 0.3, limit: int = 10) -> DataFrame:
+def query(memories: DataFrame, embeddings: DataFrame, text: str, vector: Sequence[float], project: str, mode: str = "hybrid", branch: Column | None = None, types=None, tags=None, min_relevance: float = 0.1, limit: int = 10, offset: int = 0, dead: DataFrame | None = None, successors: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """(id, score): a page of `scored`, of the best 5 x limit keyword hits. Without text, records come by decay value."""
+    if not text.strip():
+        return scope.filtered(memories, project, branch, types, tags, min_relevance, limit, offset).select("id", F.col("relevance_score").alias("score"))
+    rows = scored(memories, embeddings, text, vector, project, mode, branch, types, tags, min_relevance, 5 * limit, index)
+    return _page(rows, memories, dead, successors, limit, offset)
+
+
+def query_linear(memories: DataFrame, embeddings: DataFrame, text: str, vector: Sequence[float], project: str, branch: Column | None = None, min_score: float = 0.3, limit: int = 10, index: Index | None = None) -> DataFrame:
     """The command line's query: (0.7 x cosine + 0.3 x keyword score over the best one) x decay value, at least min_score."""
-    words = ranking.bm25(memories, text).join(memories.where(scope.in_project(project)).select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(5 * limit)
+    words = _keywords(memories, text, index).join(memories.where(scope.in_project(project)).select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(5 * limit)
     words = words.select("id", (F.col("score") / F.max("score").over(Window.partitionBy())).alias("word"))  # at most 5 x limit rows
     near = _similar(memories.where(scope.in_project(project, with_global=True)), embeddings, vector)
     both = near.join(words, "id", "full_outer").join(memories, "id")
@@ -65,11 +75,11 @@ def query_linear(memories: DataFrame, embeddings: DataFrame, text: str, vector:
     return both.select("id", score.alias("score")).where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def _context_scores(rows: DataFrame, text: str, memories: DataFrame, mode: str, within: list[str]) -> DataFrame:
+def _context_scores(rows: DataFrame, text: str, memories: DataFrame, mode: str, within: list[str], index: Index | None = None) -> DataFrame:
     """rows (id, cosine, ...) with `base`, by the mode: cosine, the keyword pseudo score, or both fused; ranks are within the groups of columns `within`."""
     if mode == "vector":
         return rows.withColumn("base", F.col("cosine"))
-    words = ranking.bm25(memories, text).withColumnRenamed("score", "word")
+    words = _keywords(memories, text, index).withColumnRenamed("score", "word")
     rows = rows.join(words, "id", "left")
     by_word = Window.partitionBy(*within).orderBy(F.desc_nulls_last("word"), "id")
     word = F.when(F.col("word").isNotNull(), 1.0 / (ranking.RRF_K + F.row_number().over(by_word)))
@@ -79,7 +89,7 @@ def _context_scores(rows: DataFrame, text: str, memories: DataFrame, mode: str,
     return rows.withColumn("base", near + F.coalesce(word, F.lit(0.0)))
 
 
-def context(memories: DataFrame, embeddings: DataFrame, text: str, vector: Sequence[float], project: str, mode: str = "hybrid", branch: Column | None = None, types=None, min_score: float = 0.3, limit: int = 5, cap: int = 500, dead: DataFrame | None = None, successors: DataFrame | None = None) -> DataFrame:
+def context(memories: DataFrame, embeddings: DataFrame, text: str, vector: Sequence[float], project: str, mode: str = "hybrid", branch: Column | None = None, types=None, min_score: float = 0.3, limit: int = 5, cap: int = 500, dead: DataFrame | None = None, successors: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """(id, score) of what bears on a text, among at most cap recent records and the pinned ones.
 
     The best 2 x limit by score are taken first; branch, types and the gate (cosine, or the decay value for the modes with keywords) come after.
@@ -88,17 +98,20 @@ def context(memories: DataFrame, embeddings: DataFrame, text: str, vector: Seque
     near = _similar(candidates, embeddings, vector)
     if mode == "vector":
         near = near.where(F.col("cosine") >= min_score)
-    based = _context_scores(near.withColumn("all", F.lit(1)), text, memories, mode, ["all"])  # at most cap rows and the pinned ones
+    based = _context_scores(near.withColumn("all", F.lit(1)), text, memories, mode, ["all"], index)  # at most cap rows and the pinned ones
     timed = clock.elapsed_days(candidates, clock.store_days(memories))
     rows = timed.join(based.select("id", "cosine", "base"), "id")
     blend = clock.additive if mode == "vector" else clock.multiplicative
     rows = rows.withColumn("score", blend(F.col("base"), F.col("elapsed"), F.col("importance"))).orderBy(F.desc("score"), "id").limit(2 * limit)
     gate = F.col("cosine") if mode == "vector" else F.col("relevance_score")
     rows = rows.where((F.lit(True) if branch is None else branch) & scope.matching(types) & (gate >= min_score))
-    return _page(rows.select("id", "score"), memories, dead, successors, limit, 0)
+    if dead is None:
+        return _page(rows.select("id", "score"), memories, None, None, limit, 0)
+    ordered = ranking.ranked(rows.select("id", "score"), "score", "rank")
+    return curation.context_curated(ordered, memories, dead, successors, types).orderBy("rank", "id").limit(limit).select("id", "score", "via_id")
 
 
-def context_by_cluster(memories: DataFrame, embeddings: DataFrame, centroids: DataFrame, members: DataFrame, text: str, vector: Sequence[float], project: str, mode: str = "vector", branch: Column | None = None, types=None, min_score: float = 0.1, limit: int = 10, dead: DataFrame | None = None, successors: DataFrame | None = None) -> DataFrame:
+def context_by_cluster(memories: DataFrame, embeddings: DataFrame, centroids: DataFrame, members: DataFrame, text: str, vector: Sequence[float], project: str, mode: str = "vector", branch: Column | None = None, types=None, min_score: float = 0.1, limit: int = 10, dead: DataFrame | None = None, successors: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """(id, cluster_id, score): the best clusters first, and in each at most one more than its share of the limit.
 
     centroids: (cluster_id, centroid); members: (cluster_id, id). Superseded and dead records go before members are counted; a successor stands in for what it supersedes.
@@ -108,7 +121,7 @@ def context_by_cluster(memories: DataFrame, embeddings: DataFrame, centroids: Da
     seen = memories.where(scope.in_project(project, with_global=True))
     near = _similar(seen, embeddings, vector).join(members, "id").join(F.broadcast(best), "cluster_id")
     gate = F.col("cosine") if mode == "vector" else F.col("relevance_score")
-    rows = _context_scores(near, text, memories, mode, ["cluster_id"]).join(memories, "id").where((F.lit(True) if branch is None else branch) & scope.matching(types) & (gate >= min_score))
+    rows = _context_scores(near, text, memories, mode, ["cluster_id"], index).join(memories, "id").where((F.lit(True) if branch is None else branch) & scope.matching(types) & (gate >= min_score))
     if dead is not None:
         gone = dead.select("id").distinct()
         rows = rows.join(gone, "id", "left_anti").join(successors, "id", "left").join(gone.select(F.col("id").alias("successor")), "successor", "left_anti")

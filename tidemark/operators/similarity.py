@@ -23,6 +23,8 @@ def near_pairs(rows: DataFrame, threshold: float, by: Sequence[str] = ("project_
     The product of all vectors with all is cut into blocks: rows of a group are dealt into tiles of about block_rows, and a task multiplies two tiles, so
     that a group of any size is shared out and only the pairs found leave a task.
     """
+    # Vectors of unlike length are not alike, and a row without one is like none.
+    rows, by = rows.where("vector is not null").withColumn("dim", F.size("vector")), (*by, "dim")
     sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("tiles"))
     dealt = rows.join(sizes, list(by)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -32,7 +34,8 @@ def near_pairs(rows: DataFrame, threshold: float, by: Sequence[str] = ("project_
     def multiply(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         tile, ids = np.asarray(table.column("tile")), np.array(table.column("id").to_pylist(), object)
-        v = np.array(table.column("vector").to_pylist(), np.float64)
+        flat = table.column("vector").combine_chunks().flatten().cast(pa.float64()).fill_null(0)
+        v = np.asarray(flat).reshape(table.num_rows, -1)
         norm = np.sqrt((v * v).sum(1))
         v = v / np.where(norm > 0, norm, 1)[:, None]
         a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)

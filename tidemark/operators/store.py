@@ -14,16 +14,18 @@ from tidemark.tables import MEMORY_TYPES, Store, StoreError
 EXEMPT_TYPES = ("handoff", "todo", "adr")
 
 
-def duplicates(memories: DataFrame, embeddings: DataFrame, vector: Sequence[float], project: str, memory_type: str, least: float = 0.9) -> DataFrame:
-    """(id, score): records of the type that a new one repeats, the nearest first. Records that hold merged ones are left alone."""
-    pool = memories.where(scope.in_project(project, with_global=True) & (F.col("memory_type") == memory_type) & ~F.col("memory_type").isin(*EXEMPT_TYPES))
+def duplicates(memories: DataFrame, embeddings: DataFrame, vector: Sequence[float], project: str, memory_type: str, least: float = 0.9, exempt: Sequence = ()) -> DataFrame:
+    """(id, score): records of the project and type that a new one repeats, the nearest first. Records that hold merged ones, and those that the caller exempts, are left alone."""
+    pool = memories.where(scope.in_project(project) & (F.col("memory_type") == memory_type) & ~F.col("memory_type").isin(*EXEMPT_TYPES))
+    if exempt:
+        pool = pool.where(~F.col("id").isin(*exempt))
     if "merged_from" in memories.columns:
         pool = pool.where(F.coalesce(F.size("merged_from"), F.lit(0)) <= 0)
     rows = pool.join(embeddings, "id").select("id", ranking.cosine_to(vector)("vector").alias("score"))
     return rows.where(F.col("score") >= least).orderBy(F.desc("score"), "id")
 
 
-def remember(store: Store, row: DataFrame, vector: Sequence[float], now: int, least: float = 0.9, skip_above: float | None = None) -> tuple[Store, dict]:
+def remember(store: Store, row: DataFrame, vector: Sequence[float], now: int, least: float = 0.9, skip_above: float | None = None, exempt: Sequence = ()) -> tuple[Store, dict]:
     """The store with a new record (one row of memories), and what became of it: skipped, merged or stored.
 
     Of a new record and the one it repeats, an existing global one survives a new local one; else the new one does.
@@ -32,7 +34,7 @@ def remember(store: Store, row: DataFrame, vector: Sequence[float], now: int, le
     if new["memory_type"] not in MEMORY_TYPES:
         raise StoreError(f"unknown type {new['memory_type']!r}")
     vectors = store.embeddings.select(F.col("memory_id").alias("id"), "vector")
-    best = duplicates(store.memories, vectors, vector, new["project_id"], new["memory_type"], min(1.0, max(0.5, least))).first()
+    best = duplicates(store.memories, vectors, vector, new["project_id"], new["memory_type"], min(1.0, max(0.5, least)), exempt).first()
     if best is not None and skip_above is not None and best["score"] >= skip_above:
         return store, {"outcome": "skipped", "id": best["id"]}
     row = row.withColumn("summary", auto_summary())

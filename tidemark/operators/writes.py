@@ -12,8 +12,8 @@ from tidemark.tables import Store
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
-    """The table with rows in place of those of the same key."""
-    return table.join(rows.select(*key), list(key), "left_anti").unionByName(rows.select(table.columns))
+    """The table with rows in place of those of the same key; of several new rows of one key, one."""
+    return table.join(rows.select(*key), list(key), "left_anti").select(table.columns).unionByName(rows.select(table.columns).dropDuplicates(list(key)))
 
 
 def stored(memories: DataFrame, rows: DataFrame, now: int) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.keyword_index import Index
+from tidemark.session import shared_dir
+
 #: The moment that every query takes for now.
 NOW = 1_750_000_000
 QUERY = "the nation with house"
@@ -63,6 +68,19 @@ def vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(row[0]) if row else [0.0]
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The keyword index of the records: written once for a session and table, as a store's writes would keep it, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        Index.of(memories(spark, sf_dir)).save(folder)
+        _indexes[key] = folder
+    return Index.load(spark, _indexes[key])
+
+
 #: The same tables as SQL.
 CTE = f"""
 mem AS (SELECT doc_id AS id, lang AS project_id, (['fact','decision','pattern','debug','handoff'])[CAST(doc_id % 5 AS INTEGER) + 1] AS memory_type, text AS content,
