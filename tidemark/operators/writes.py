@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.tables import Store
+from tidemark.tables import SCHEMAS, Store
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
@@ -40,6 +41,12 @@ def changed(memories: DataFrame, which: Column, **values: Column) -> DataFrame:
     return memories
 
 
+def changed_times(memories: DataFrame, ids: DataFrame, now: int) -> DataFrame:
+    """Records (id) marked as updated now."""
+    rows = memories.join(ids.select("id", F.lit(True).alias("__hit")).distinct(), "id", "left")
+    return rows.withColumn("updated_at", F.when(F.col("__hit"), F.lit(now).cast("bigint")).otherwise(F.col("updated_at"))).select(memories.columns)
+
+
 def updated(memories: DataFrame, edits: DataFrame, now: int) -> DataFrame:
     """Edits (id, content, summary, tags, importance, external_artifacts): null keeps what there is; an empty list of artifacts clears them."""
     names = ("content", "summary", "tags", "importance", "external_artifacts")
@@ -52,6 +59,11 @@ def updated(memories: DataFrame, edits: DataFrame, now: int) -> DataFrame:
     return rows.withColumn("updated_at", F.when(F.col("edited"), F.lit(now).cast("bigint")).otherwise(F.col("updated_at"))).select(memories.columns)
 
 
+def edges(spark: SparkSession, named: Sequence[tuple[str, str, str]], now: int) -> DataFrame:
+    """Rows of relationships, of full strength, for edges (source, target, type) that a caller names."""
+    return spark.createDataFrame([(f"rel_{uuid.uuid4().hex}", a, b, kind, 1.0, now) for a, b, kind in named], SCHEMAS["relationships"])
+
+
 def linked(relationships: DataFrame, edges: DataFrame, memories: DataFrame) -> DataFrame:
     """Edges between records that exist, strength from 0 to 1, one for each source, target and type."""
     ids = memories.select("id")
@@ -61,16 +73,30 @@ def linked(relationships: DataFrame, edges: DataFrame, memories: DataFrame) -> D
     return upserted(relationships, good, ("source_id", "target_id", "relation_type"))
 
 
-def trashed(store: Store, ids: DataFrame, op: str, now: int) -> Store:
-    """Records (id) moved to the trash, with their edges and vectors as they were; clusters that are left empty go."""
+def snapshots(store: Store, ids: DataFrame, op: str, now: int) -> DataFrame:
+    """Trash entries of records (id) as they are now, with their edges and vectors; ids that are not in the store give none."""
     gone = store.memories.join(ids, "id", "left_semi")
-    ends = store.relationships.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"), F.struct(*store.relationships.columns).alias("edge"))
+    ends = store.relationships.select(
+        F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"), F.struct(*store.relationships.columns).alias("edge")
+    )
     edges = ends.join(ids, "id", "left_semi").groupBy("id").agg(F.to_json(F.sort_array(F.collect_list("edge"))).alias("relationships"))
     last = store.trash.agg(F.coalesce(F.max("trash_id"), F.lit(0)).alias("m")).first()["m"]
     number = F.xxhash64("id", F.lit(now)).bitwiseAND(F.lit((1 << 40) - 1)) + F.lit(last + 1)
-    rows = gone.select("id", "project_id", F.to_json(F.struct(*store.memories.columns)).alias("memory")).join(edges, "id", "left").join(store.embeddings.withColumnRenamed("memory_id", "id"), "id", "left")
-    rows = rows.select(number.alias("trash_id"), F.col("id").alias("memory_id"), "project_id", F.lit(op).alias("op"), "memory", "relationships", "vector", "model_version", F.lit(now).cast("bigint").alias("trashed_at"))
-    return removed(store, ids).with_(trash=store.trash.unionByName(rows.select(store.trash.columns)))
+    rows = gone.select("id", "project_id", F.to_json(F.struct(*store.memories.columns)).alias("memory"))
+    rows = rows.join(edges, "id", "left").join(store.embeddings.withColumnRenamed("memory_id", "id"), "id", "left")
+    rows = rows.withColumns({"trash_id": number, "op": F.lit(op), "trashed_at": F.lit(now).cast("bigint")})
+    return rows.withColumnRenamed("id", "memory_id").select(store.trash.columns)
+
+
+def trashed(store: Store, ids: DataFrame, op: str, now: int) -> Store:
+    """Records (id) moved to the trash, with their edges and vectors as they were; clusters that are left empty go."""
+    return removed(store, ids).with_(trash=store.trash.unionByName(snapshots(store, ids, op, now)))
+
+
+def edited(store: Store, edits: DataFrame, now: int) -> Store:
+    """The store after `updated`; what a record was before its content was replaced lies in the trash."""
+    old = edits.where("content is not null").select("id") if "content" in edits.columns else edits.select("id").limit(0)
+    return store.with_(memories=updated(store.memories, edits, now), trash=store.trash.unionByName(snapshots(store, old, "update", now)))
 
 
 def removed(store: Store, ids: DataFrame) -> Store:
@@ -108,7 +134,21 @@ def restored(store: Store, ids: DataFrame) -> Store:
     vectors = entries.where("vector is not null").select("memory_id", "vector", "model_version")
     edges = entries.select(F.explode(F.from_json("relationships", f"array<{store.relationships.schema.simpleString()}>")).alias("e")).select("e.*").dropDuplicates(["id"])
     relationships = linked(store.relationships, edges, memories)
-    return store.with_(memories=memories, embeddings=upserted(store.embeddings, vectors, ("memory_id",)), relationships=relationships, trash=store.trash.join(entries.select("trash_id"), "trash_id", "left_anti").select(store.trash.columns))
+    return store.with_(memories=memories, embeddings=upserted(store.embeddings, vectors, ("memory_id",)), relationships=relationships, trash=store.trash.join(entries.select("memory_id", "trash_id"), ["memory_id", "trash_id"], "left_anti").select(store.trash.columns))
+
+
+def restore(store: Store, ids: DataFrame, now: int) -> tuple[Store, DataFrame]:
+    """The store after `restored`, and (memory_id, op, overwrote, edges_restored, edges_dropped) of each record that came back. A record that was alive goes to the trash as it was."""
+    entries = latest_trash(store.trash).join(ids.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    alive = store.memories.join(entries.select(F.col("memory_id").alias("id")), "id", "left_semi").select("id")
+    back = restored(store, ids)
+    edge = F.explode(F.from_json("relationships", f"array<{store.relationships.schema.simpleString()}>"))
+    ends = entries.select("memory_id", edge.alias("e")).select("memory_id", F.when(F.col("e.source_id") == F.col("memory_id"), F.col("e.target_id")).otherwise(F.col("e.source_id")).alias("id"))
+    there = back.memories.select("id", F.lit(True).alias("there"))
+    counts = ends.join(there, "id", "left").groupBy("memory_id").agg(F.count("there").alias("edges_restored"), F.count_if(F.col("there").isNull()).alias("edges_dropped"))
+    told = entries.select("memory_id", "op").join(alive.select(F.col("id").alias("memory_id"), F.lit(True).alias("overwrote")), "memory_id", "left").join(counts, "memory_id", "left")
+    told = told.select("memory_id", "op", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("overwrote", False), ("edges_restored", 0), ("edges_dropped", 0))])
+    return back.with_(trash=back.trash.unionByName(snapshots(store, alive, "update", now))), told
 
 
 def with_state(status: DataFrame, ids: DataFrame, dead: bool, reason: str | None, now: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.text import haystack_time
 
@@ -17,9 +18,10 @@ def last_answers(spark: SparkSession, path: str, n: int = 1) -> DataFrame:
     blocks = F.filter(F.from_json("m.message.content", "array<struct<type:string, text:string>>"), lambda b: (b["type"] == "text") & b["text"].isNotNull())
     text = F.when(F.col("m.message.content").startswith("["), F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")).otherwise(F.col("m.message.content"))
     rows = rows.select("path", "block", "at", text.alias("text")).where(F.trim("text") != "")
-    # Per file: only the last n are kept at any time, by the place of the line.
-    newest = rows.groupBy("path").agg(F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("block", "at", "text")))), 1, n).alias("last"))
-    return newest.select("path", F.array_join(F.transform(F.reverse("last"), lambda x: x["text"]), "\n\n").alias("text"))
+    # Spark keeps the n newest lines of each part of a file before the files' rows meet.
+    newest = rows.withColumn("back", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("block"), F.desc("at")))).where(F.col("back") <= n)
+    last = newest.groupBy("path").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("turn"), "text"))).alias("last"))
+    return last.select("path", F.array_join(F.transform("last", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.text import CUES, redacted
 
-EVENTS = "project_id string, session_id string, event string, prompt string, reason string, agent_type string, message string, at bigint"
+EVENTS = "project_id string, session_id string, event string, prompt string, reason string, agent_type string, message string, at bigint, transcript_path string"
 #: Events that are looked at unless the caller says otherwise; the two others are off.
 ENABLED = ("SessionStart", "SessionEnd", "PostToolUse", "Stop", "PreCompact")
 CAP, PROMPT_BYTES, AGENT_BYTES, END_BYTES = 50, 40, 200, 4000
@@ -23,6 +23,14 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", EVENTS).alias("e")).select("e.*")
 
 
+def with_answers(events: DataFrame, answers: DataFrame) -> DataFrame:
+    """Events whose sessions' transcripts were read: at its end, a session's message is the last answer in its transcript. answers: (path, text), as `transcripts.last_answers` gives them."""
+    bare = lambda path: F.regexp_replace(path, "^file:/+", "/")
+    said = answers.select(bare(F.col("path")).alias("said_in"), F.col("text").alias("said"))
+    ends = (F.col("event") == "SessionEnd") & (bare(F.col("transcript_path")) == F.col("said_in"))
+    return events.join(said, ends, "left").withColumn("message", F.coalesce("said", "message")).select(events.columns)
+
+
 def _cut(text: Column, most: int) -> Column:
     """At most `most` bytes, cut between characters, with an ellipsis if any are missing."""
     cut = F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, most), "UTF-8"), "�+$", "")
