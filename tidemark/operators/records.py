@@ -29,7 +29,11 @@ def sections(handoffs: DataFrame) -> DataFrame:
 def section_warnings(handoffs: DataFrame, section_most: int = 5000, item_most: int = 1000) -> DataFrame:
     """(memory_id, section, size): sections, and items of lists, with more characters than they should have."""
     whole = sections(handoffs).select("memory_id", "section", F.char_length("text").alias("size")).where(F.col("size") > section_most)
-    items = [F.transform(F.coalesce(F.col(n), F.array().cast("array<string>")), lambda t, n=n: F.struct(F.lit(n).alias("section"), F.char_length(t).alias("size"))) for n in LIST_SECTIONS]
+
+    def sizes(name: str) -> Column:
+        return F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda t: F.struct(F.lit(name).alias("section"), F.char_length(t).alias("size")))
+
+    items = [sizes(n) for n in LIST_SECTIONS]
     single = handoffs.select("memory_id", F.explode(F.concat(*items)).alias("s")).select("memory_id", "s.*").where(F.col("size") > item_most)
     return whole.unionByName(single)
 
