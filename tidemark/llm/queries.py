@@ -85,10 +85,13 @@ SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN n >=
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 r AS (SELECT * FROM (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) t(word, rule)),
-h AS (SELECT host, CASE WHEN instr(host, '.') = 0 THEN host ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix,
-             CASE WHEN regexp_extract(host, '([^.]*[.][^.]*)$', 1) = '' THEN host ELSE regexp_extract(host, '([^.]*[.][^.]*)$', 1) END AS domain,
-             CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS g
-      FROM u LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END AS good FROM labels) l ON l.doc_id = u.page_id GROUP BY host),
+w AS (SELECT page_id, host, path, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS site FROM u),
+c AS (SELECT site, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS g, string_split(site, '.') AS l
+      FROM w LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END AS good FROM labels) l ON l.doc_id = w.page_id GROUP BY site),
+v AS (SELECT site, n, g, l, regexp_full_match(site, '[0-9]+([.][0-9]+){3}') AS num, array_to_string(l[-2:], '.') AS two,
+             array_to_string(l[-2:], '.') IN (TWO_LEVEL) AS wide FROM c),
+h AS (SELECT site, n, g, CASE WHEN num THEN '' WHEN wide THEN two ELSE l[-1] END AS suffix,
+             CASE WHEN num THEN site WHEN wide THEN array_to_string(l[-3:], '.') ELSE two END AS domain FROM v),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(g) AS g FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d GROUP BY ALL),
 m AS (SELECT lvl, sum(n) AS t, sum(g) AS g, sum(n * n) AS sq, count(*) AS c, sum(g * g / n) AS a
@@ -98,11 +101,11 @@ e AS (SELECT lvl, mean, CASE WHEN w * (t - sq / t - (c - 1)) > 0 THEN (spread -
 k AS (SELECT lvl, mean, CASE WHEN alike <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, 1 / alike - 1)) END AS k FROM e),
 z AS (SELECT coalesce((SELECT mean FROM k WHERE lvl = 's'), 0.5::DOUBLE) AS mean, coalesce((SELECT k FROM k WHERE lvl = 's'), 1::DOUBLE) AS ks,
              coalesce((SELECT k FROM k WHERE lvl = 'd'), 1::DOUBLE) AS kd, coalesce((SELECT k FROM k WHERE lvl = 'h'), 1::DOUBLE) AS kh),
-p AS (SELECT h.host, h.g + kh * dm AS a, h.n - h.g + kh * (1 - dm) AS b
+p AS (SELECT h.site, h.g + kh * dm AS a, h.n - h.g + kh * (1 - dm) AS b
       FROM h JOIN (SELECT d.domain, (d.g + kd * sm) / (d.n + kd) AS dm, kh FROM d JOIN (SELECT s.suffix, (s.g + ks * mean) / (s.n + ks) AS sm, kd, kh FROM s, z) x USING (suffix)) y USING (domain)),
-b AS (SELECT host, a / (a + b) + 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5::DOUBLE AS bad FROM p),
-j AS (SELECT page_id, u.host, path, (SELECT max_by(rule, length(rule)) FROM r WHERE (u.host = split_part(rule, '/', 1) OR ends_with(u.host, '.' || split_part(rule, '/', 1)))
-             AND starts_with(u.path, substr(rule, instr(rule, '/')))) AS rule, bad FROM u JOIN b ON b.host = u.host)
+b AS (SELECT site, list_sum(list_transform(range(0, 200 + 4 * CAST(a + b AS BIGINT)), lambda i: exp(lgamma(a + b + i) - lgamma(a + i + 1) - lgamma(b) - (a + b + i) * ln(2e0)))) > 95e-2 AS bad FROM p),
+j AS (SELECT page_id, w.host, path, (SELECT max_by(rule, length(rule)) FROM r WHERE (w.host = split_part(rule, '/', 1) OR ends_with(w.host, '.' || split_part(rule, '/', 1)))
+             AND starts_with(w.path, substr(rule, instr(rule, '/')))) AS rule, bad FROM w JOIN b ON b.site = w.site)
 SELECT page_id, host, path, rule, coalesce((SELECT word FROM r WHERE r.rule = j.rule), CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM j
-""",
+""".replace("TWO_LEVEL", ", ".join(f"'{x}'" for x in url_filter.TWO_LEVEL)),
 }

@@ -3,8 +3,14 @@
 Reputation. Labelled pages of a host are good (quality 1 and not toxic) or bad. The share of good pages has a beta prior
 at each level: a suffix's is centred on all pages, a registered domain's on its suffix's posterior mean, a host's on its
 domain's. How strongly a level is drawn to the one above is estimated from the table itself (moments of the
-beta-binomial: `prior_strength`). A host is blocked if the upper bound of its posterior, `Z` deviations above the mean, is
-under `LEAST_GOOD`: it takes evidence to block, and a host without labels goes by its domain.
+beta-binomial: `prior_strength`). A host is blocked if the upper bound of its posterior, the quantile `LEVEL` of its beta
+distribution, is under `LEAST_GOOD`: it takes evidence to block, and a host without labels goes by its domain. As the
+quantile is under a value if and only if the distribution has more than `LEVEL` of its mass there, that mass is what is
+computed, with the continued fraction of the incomplete beta function, one host a row.
+
+For its reputation, a host goes without user name, port and closing dots. Its suffix is its last label, or its last two if
+they are one of `TWO_LEVEL` (a parameter); its registered domain has one label more. An address in numbers is a domain of
+its own.
 
 Rules are few and given by the caller; hosts may be many and are joined, not collected. Only sums by level reach the
 driver: a handful of numbers.
@@ -16,6 +22,11 @@ no rows, or no labels (everything is allowed that no rule blocks). Extra columns
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +34,12 @@ from tidemark.llm.common import cut
 
 #: (verdict, rule): host and path, `/` between them.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-Z, LEAST_GOOD = 1.645, 0.5
+LEVEL, LEAST_GOOD = 0.95, 0.5
+#: Suffixes of two labels under which names are registered. Fixed values.
+TWO_LEVEL = (
+    *("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr"),
+    *("com.ar", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw"),
+)
 STRENGTH_BOUNDS = (1.0, 1000.0)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -62,12 +78,48 @@ def prior_strength(groups: DataFrame) -> tuple[float, float]:
     return mean, high if alike <= 0 else min(high, max(low, 1 / alike - 1))
 
 
-def reputations(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(host, reputation, upper): posterior mean and upper bound of the share of good pages, for every host."""
+def site(host: Column) -> Column:
+    """The host without user name, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+
+
+def levels(name: Column, two_level: Sequence[str] = TWO_LEVEL) -> tuple[Column, Column]:
+    """Suffix and registered domain of a site."""
+    number = name.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    two = F.substring_index(name, ".", -2)
+    wide = two.isin(*two_level)
+    suffix = F.when(number, "").when(wide, two).otherwise(F.substring_index(name, ".", -1))
+    return suffix, F.when(number, name).when(wide, F.substring_index(name, ".", -3)).otherwise(two)
+
+
+def mass_below(a: np.ndarray, b: np.ndarray, x: float) -> np.ndarray:
+    """How much of each beta distribution lies under x: the regularised incomplete beta function.
+
+    Its continued fraction converges in a number of steps that grows with the root of the larger parameter, on the side of the mean where x lies.
+    """
+    if not len(a):
+        return np.zeros(0)
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    log_beta = np.array([math.lgamma(i) + math.lgamma(j) - math.lgamma(i + j) for i, j in zip(p, q, strict=True)])
+    front = np.exp(p * np.log(z) + q * np.log1p(-z) - log_beta) / p
+    # The fraction 1/(1 + d1/(1 + d2/(1 + ...))) from the back.
+    value = np.ones(len(a))
+    for k in range(40 + 4 * int(math.sqrt(max(p.max(), q.max()))), 0, -1):
+        m = k // 2
+        d = m * (q - m) * z / ((p + k - 1) * (p + k)) if k % 2 == 0 else -(p + m) * (p + q + m) * z / ((p + k - 1) * (p + k))
+        value = 1 + d / value
+    part = front / value
+    return np.clip(np.where(turned, 1 - part, part), 0, 1)
+
+
+def reputations(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", two_level: Sequence[str] = TWO_LEVEL) -> DataFrame:
+    """(site, reputation, below): for every site, the posterior mean of its share of good pages, and how likely it is that the share is under `LEAST_GOOD`."""
     own = labels.select(labels["doc_id"].alias("id"), F.when((labels["quality"] == 1) & (labels["toxic"] == 0), 1).otherwise(0).alias("good"))
-    seen = pages.select(pages[id_col].alias("id"), parts(pages[url_col])[0].alias("host")).join(own, "id", "left")
-    hosts = seen.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
-    hosts = cut(hosts.select("host", F.substring_index("host", ".", -1).alias("suffix"), F.substring_index("host", ".", -2).alias("domain"), "n", "g"))
+    seen = pages.select(pages[id_col].alias("id"), site(parts(pages[url_col])[0]).alias("site")).join(own, "id", "left")
+    hosts = seen.groupBy("site").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
+    suffix, domain = levels(F.col("site"), two_level)
+    hosts = cut(hosts.select("site", suffix.alias("suffix"), domain.alias("domain"), "n", "g"))
     sums = (F.sum("n").alias("n"), F.sum("g").alias("g"))
     domains = hosts.groupBy("suffix", "domain").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
@@ -82,16 +134,16 @@ def reputations(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", ur
     by_domain = drawn(domains.join(by_suffix, "suffix"), k_domain, F.col("suffix_mean"), "domain_mean").select("domain", "domain_mean")
     by_host = hosts.join(by_domain, "domain")
     a, b = F.col("g") + k_host * F.col("domain_mean"), F.col("n") - F.col("g") + k_host * (1 - F.col("domain_mean"))
-    by_host = by_host.select("host", a.alias("a"), b.alias("b"), (a + b).alias("s"))
-    return by_host.select("host", (F.col("a") / F.col("s")).alias("reputation"), (F.col("a") / F.col("s") + Z * F.sqrt(F.col("a") * F.col("b") / (F.col("s") * F.col("s") * (F.col("s") + 1)))).alias("upper"))
+    below = F.pandas_udf(lambda a, b: pd.Series(mass_below(a.to_numpy(float), b.to_numpy(float), LEAST_GOOD)), "double")
+    return by_host.select("site", a.alias("a"), b.alias("b")).select("site", (F.col("a") / (F.col("a") + F.col("b"))).alias("reputation"), below("a", "b").alias("below"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) of every page."""
     host, path = parts(pages[url_col])
-    rows = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"), site(host).alias("site"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     # Checkpointed, so that the join has an exchange on both sides and Spark can split a host with very many pages.
-    known = cut(reputations(pages, labels, id_col, url_col).select("host", (F.col("upper") < LEAST_GOOD).alias("bad")))
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict")).join(known, "host")
+    known = cut(reputations(pages, labels, id_col, url_col).select("site", (F.col("below") > LEVEL).alias("bad")))
+    rows = rows.select("id", "host", "path", "site", rule.alias("rule"), verdict.alias("verdict")).join(known, "site")
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
