@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import decisions, handoffs, records, store, todos, writes
-from tidemark.sources import legacy, transcripts
+from tidemark.sources import exchange, legacy, transcripts
 from tidemark.streaming import ingest
 from tidemark.tables import SCHEMAS, Store, StoreError
 
@@ -176,3 +176,19 @@ def test_legacy_handoffs(spark, tmp_path):
     assert b["text"] == "## Summary\n\nImported handoff from b.md\n\n## Notes\n\n### Update: Update 10:20\nmore\n"
     back = records.parsed(spark.createDataFrame(out).select("id", "text")).where("valid")
     assert back.count() == 2
+
+
+def test_projects_and_codecs(spark, some, tmp_path):
+    one = writes.with_project(some, "q", NOW)
+    assert one.projects.first().asDict() == {"id": "q", "name": "q", "root_path": "q", "decay_rate": 0.01, "created_at": NOW}
+    assert writes.with_project(one, "q", NOW + 1, name="other").projects.collect() == one.projects.collect()
+    bad = spark.createDataFrame([("m", "a", [1.0, 2.0]), ("m", "b", [3.0])], "memory_id string, section string, vector array<float>")
+    with pytest.raises(Exception, match="another length"):
+        exchange.section_blob(bad, 2).collect()
+    with pytest.raises(Exception, match="whole floats"):
+        spark.createDataFrame([("AAA=",)], "t string").select(exchange.decoded(F.col("t"))).collect()
+    bare = some.with_(embeddings=some.embeddings.where("memory_id = 'a'"))
+    exchange.export(bare, "p", str(tmp_path / "out"), NOW)
+    there = exchange.imported(Store.empty(spark), str(tmp_path / "out"), "q", NOW, embed=lambda texts: [[float(len(t)), 0.0] for t in texts])
+    got = {r["memory_id"]: r["vector"] for r in there.embeddings.collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"] == [1.0, 0.0] and got["b"][0] > 0

@@ -59,6 +59,14 @@ def updated(memories: DataFrame, edits: DataFrame, now: int) -> DataFrame:
     return rows.withColumn("updated_at", F.when(F.col("edited"), F.lit(now).cast("bigint")).otherwise(F.col("updated_at"))).select(memories.columns)
 
 
+def with_project(store: Store, project: str, now: int, name: str | None = None, root_path: str | None = None, decay_rate: float = 0.01) -> Store:
+    """The store with a project, if it did not have it; one that is there stays as it is."""
+    if not store.projects.where(F.col("id") == project).isEmpty():
+        return store
+    row = store.projects.sparkSession.createDataFrame([(project, name or project, root_path or project, decay_rate, now)], store.projects.schema)
+    return store.with_(projects=store.projects.unionByName(row))
+
+
 def edges(spark: SparkSession, named: Sequence[tuple[str, str, str]], now: int) -> DataFrame:
     """Rows of relationships, of full strength, for edges (source, target, type) that a caller names."""
     return spark.createDataFrame([(f"rel_{uuid.uuid4().hex}", a, b, kind, 1.0, now) for a, b, kind in named], SCHEMAS["relationships"])

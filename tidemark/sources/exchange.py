@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import scope, writes
+from tidemark.operators import lookup, scope, writes
 from tidemark.tables import SCHEMAS, Store, StoreError
 
 VERSION, READABLE = "1.2", ("1.0", "1.1", "1.2")
@@ -27,14 +29,18 @@ def encoded(vector):
 
 
 def decoded(text):
-    """The vector of a base64 text; null if its length does not fit."""
-    return F.arrow_udf(_decode, "array<float>")(F.unbase64(text))
+    """The vector of a base64 text. One whose length does not fit is an error of the job that reads it."""
+    raw = F.unbase64(text)
+    whole = F.when(F.octet_length(raw) % 4 == 0, raw).when(raw.isNotNull(), F.raise_error(F.lit("a vector's bytes are no whole floats")))
+    return F.arrow_udf(_decode, "array<float>")(whole)
 
 
 def section_blob(sections: DataFrame, dim: int) -> DataFrame:
-    """(memory_id, keys, blob) from (memory_id, section, vector): keys joined by commas, vectors one after another."""
+    """(memory_id, keys, blob) from (memory_id, section, vector): keys joined by commas, vectors one after another. A vector that is not of dim numbers is an error of the job that writes it."""
     rows = sections.groupBy("memory_id").agg(F.sort_array(F.collect_list(F.struct("section", "vector"))).alias("s"))
-    return rows.select("memory_id", F.array_join(F.transform("s", lambda x: x["section"]), ",").alias("keys"), F.arrow_udf(_encode, "binary")(F.flatten(F.transform("s", lambda x: x["vector"]))).alias("blob")).where(F.octet_length("blob") == 4 * dim * F.size(F.split("keys", ",")))
+    flat = F.arrow_udf(_encode, "binary")(F.flatten(F.transform("s", lambda x: x["vector"])))
+    rows = rows.select("memory_id", F.array_join(F.transform("s", lambda x: x["section"]), ",").alias("keys"), flat.alias("blob"), F.forall("s", lambda x: F.size(x["vector"]) == dim).alias("fits"))
+    return rows.select("memory_id", "keys", F.when(F.col("fits"), F.col("blob")).otherwise(F.raise_error(F.lit("a section's vector has another length"))).alias("blob"))
 
 
 def sections_of_blob(rows: DataFrame, dim: int) -> DataFrame:
@@ -58,8 +64,10 @@ def export(store: Store, project: str, folder: str, now: int, model_version: str
         df.write.mode("errorifexists").json(f"{folder}/{name}")
 
 
-def imported(store: Store, folder: str, project: str, now: int, mode: str = "merge") -> Store:
-    """The store with an export read in: `replace` wipes the project first, anything else keeps records whose ids exist. Decision records whose number is taken are left out whole; edges need both ends."""
+def imported(store: Store, folder: str, project: str, now: int, mode: str = "merge", embed: Callable | None = None) -> Store:
+    """The store with an export read in; records that come without a vector get one by `embed`, if it is given.
+
+    `replace` wipes the project first, anything else keeps records whose ids exist. Decision records whose number is taken are left out whole; edges need both ends."""
     spark: SparkSession = store.memories.sparkSession
     version = spark.read.schema("version string").json(f"{folder}/head").first()
     if version is None or version[0] not in READABLE:
@@ -74,6 +82,9 @@ def imported(store: Store, folder: str, project: str, now: int, mode: str = "mer
     rows = rows.withColumn("project_id", F.lit(project)).withColumn("updated_at", F.lit(now).cast("bigint"))
     memories = store.memories.unionByName(rows.select(store.memories.columns))
     vectors = rows.where("embedding is not null").select(F.col("id").alias("memory_id"), decoded(F.col("embedding")).alias("vector"), F.lit(None).cast("string").alias("model_version"))
+    if embed is not None:
+        fresh = lookup.embedded(rows.where("embedding is null"), embed)
+        vectors = vectors.unionByName(fresh.select(F.col("id").alias("memory_id"), "vector", F.lit(None).cast("string").alias("model_version")))
     handoffs = rows.where("handoff is not null").select(F.col("id").alias("memory_id"), "handoff.*").withColumn("sections", F.lit(None).cast(store.handoffs.schema["sections"].dataType))
     adrs = rows.where("adr is not null").select(F.col("id").alias("memory_id"), "adr.*").withColumn("project_id", F.lit(project))
     edges = spark.read.schema(SCHEMAS["relationships"]).json(f"{folder}/relationships")
