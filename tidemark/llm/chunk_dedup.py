@@ -6,11 +6,12 @@ depends on the last 32 bytes. Where its top `MASK_BITS` bits are zero, a chunk e
 hashes and their length are. Of equal chunks, the first (smallest id, then position) stays. Chunks that repeat are only
 taken for a repeated passage where neighbouring ones make up at least `MIN_RUN` bytes: a lone common line stays.
 
-Whole chunks miss the ends of a passage, and short passages altogether. With `extend` (as op10_chunk_dedup runs), chunks are not
-what is compared: the same kind of rolling hash picks anchors, the least of any `ANCHOR_STEP` neighbouring windows of `ANCHOR` bytes, so that
-every passage of `MIN_RUN` bytes has an anchor, and the same ones in all its copies. A text is compared byte by byte with the first one that has
-the anchor, left and right of it, and a match of `MIN_RUN` bytes or more, cut to whole characters, is removed. Each removed byte has an
-equal one earlier in the order. An anchor is compared with its first text alone: a passage all of whose anchors stand, before its first copy,
+Whole chunks miss the ends of a passage, and short passages altogether. With `extend` (as op10_chunk_dedup runs), chunks are
+smaller and no length is set for them: one ends where the gear hash is the least of any `STEP` neighbouring places. Such borders depend on the bytes
+around them alone, no chunk is longer than `STEP`, and every passage of `SURE` bytes has a chunk that all its copies have. A chunk's digest is over its
+bytes and the 32 before it, by which its first border was judged. Where a digest repeats, the text is compared byte by byte with the first one that has
+the chunk, left and right of it, and a match of `MIN_RUN` bytes or more, cut to whole characters, is removed. Each removed byte has an
+equal one earlier in the order. A chunk is compared with its first text alone: a passage all of whose chunks stand, before its first copy,
 in other texts with less than `MIN_RUN` bytes in common stays. Copies within a text count where they are `MIN_RUN` bytes apart or more.
 
 Only chunks that repeat go on after they are counted; counts are combined where chunks lie, and the join back to them can be
@@ -23,7 +24,9 @@ told apart by their text. Empty table: no rows. Extra columns: left out.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,25 +34,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ODD, bounded_batches, cut, keyed, mixed, pieces, settled, sliding_min, span_hash, utf8
+from tidemark.llm.common import ODD, bounded_batches, cut, keyed, mixed, pieces, remove, settled, shared_dir, sliding_min, span_hash, utf8
 
 MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_RUN = 5, 24, 256, 120
 GEAR = (mixed(np.arange(256, dtype=np.uint64) * ODD[10] + ODD[11]) >> np.uint64(32)).astype(np.uint32)
 _REACH = 32
-#: Bytes of an anchor, and the windows of which the least is one: together they span MIN_RUN bytes.
-ANCHOR = 40
-ANCHOR_STEP = MIN_RUN - ANCHOR + 1
-#: Bytes beside the outer anchors of a match that are compared. What is equal beyond has anchors of its own.
-_MARGIN = 2 * MIN_RUN
+#: With extend: neighbouring places of which the least ends a chunk, and the bytes of which every passage has a whole chunk in common with its copies.
+STEP = 64
+SURE = _REACH + 3 * STEP
 
 
-def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First bytes, ends and text of the chunks of texts on end."""
+def gear(data: np.ndarray) -> np.ndarray:
+    """The gear hash after each byte, of the last 32 bytes."""
     h, width = GEAR[data], 1
     while width < _REACH:
         more = h.copy()
         more[width:] += h[:-width] << np.uint32(width)
         h, width = more, width * 2
+    return h
+
+
+def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, ends and text of the chunks of texts on end."""
+    h = gear(data)
     ends = np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1
     at = np.searchsorted(ends, offsets)
     first, last, of = [], [], []
@@ -137,52 +144,72 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(found, F.col("id").eqNullSafe(F.col("own_id")) & (rows["mark"] == found["mark"]), "left").select("id", "text", "places")
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, hash and text of the anchors of texts on end."""
-    n = len(data) - ANCHOR + 1
-    if n < ANCHOR_STEP:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def least_borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of texts on end, but for the ends of the texts: where the gear hash is the least of STEP neighbouring places of a text."""
+    n = len(data) - _REACH + 1
+    if n < STEP:
+        return np.zeros(0, np.int64)
     at = np.arange(n)
-    of = np.searchsorted(offsets, at, "right") - 1
-    h = span_hash(data, at, at + ANCHOR, 42, fold=False)
-    whole = at + ANCHOR <= offsets[of + 1]
-    h[~whole] = np.uint64(2**64 - 1)
-    edge = np.zeros(ANCHOR_STEP - 1, np.uint64)
-    # The largest of the least values of the windows around each place; it is the place's own where that is the least of one.
-    most = ~sliding_min(~np.concatenate([edge, sliding_min(h, ANCHOR_STEP), edge]), ANCHOR_STEP)
+    h = gear(data)[_REACH - 1 :].astype(np.uint64) + np.uint64(1)
+    whole = at + _REACH <= offsets[np.searchsorted(offsets, at, "right")]
+    h[~whole] = 0  # so that no place is the least of a run across texts
+    edge = np.zeros(STEP - 1, np.uint64)
+    # The largest of the least values of the runs of places around each place; it is the place's own where that is the least of one.
+    most = ~sliding_min(~np.concatenate([edge, sliding_min(h, STEP), edge]), STEP)
     picked = whole & (h == most)
     same = np.zeros(n, bool)
     same[1:] = picked[1:] & picked[:-1] & (h[1:] == h[:-1])
-    begin = np.maximum.accumulate(np.where(same, 0, at))  # of a run of one byte, where each window is the least
-    picked &= (at - begin) % ANCHOR_STEP == 0
-    return at[picked], h[picked].view(np.int64), of[picked]
+    begin = np.maximum.accumulate(np.where(same, 0, at))  # of a run of one byte, where each place is the least
+    picked &= (at - begin) % STEP == 0
+    return at[picked] + _REACH
+
+
+def seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, ends and text of what the digests of the chunks of texts on end are over: each chunk and the 32 bytes before it."""
+    inner = least_borders(data, offsets)
+    inner = inner[~np.isin(inner, offsets)]
+    begins, ends = np.sort(np.concatenate([offsets[:-1], inner])), np.sort(np.concatenate([offsets[1:], inner]))
+    of = np.searchsorted(offsets, begins, "right") - 1
+    there = ends > begins
+    begins, ends, of = begins[there], ends[there], of[there]
+    first = np.maximum(begins - _REACH, offsets[of])
+    enough = (ends - first >= _REACH) & (np.diff(offsets)[of] >= MIN_RUN)
+    return first[enough], ends[enough], of[enough]
 
 
-def _anchored(rows: DataFrame) -> DataFrame:
-    """(id, mark, at, h) of every anchor of rows (id, mark, text)."""
+def _seeded(rows: DataFrame) -> DataFrame:
+    """(id, mark, place, h) of every chunk of rows (id, mark, text); place is 256 x the first byte of what h is over + its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches):
-            first, h, of = anchors(data, offsets)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(of)), "mark": batch.column("mark").take(pa.array(of)), "at": first - offsets[of], "h": h})
+            first, end, of = seeds(data, offsets)
+            h = span_hash(data, first, end, 42, fold=False).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(of)), "mark": batch.column("mark").take(pa.array(of)), "place": (first - offsets[of]) * 256 + (end - first), "h": h})
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark bigint, at bigint, h bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark bigint, place bigint, h bigint")
 
 
-def _sought(rows: DataFrame) -> DataFrame:
-    """(id, mark, matches): for each row with anchors that another text or place has first, what to compare it with: the first text's id and mark, how much later the row's bytes stand, the anchors, and the part of the first text around them."""
-    found = _anchored(rows)
-    often = settled(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("first")).where("n > 1").drop("n"))
+def _sought(rows: DataFrame, folder: str) -> DataFrame:
+    """(who, matches): for each row with chunks that another text or place has first, what to compare it with: the first text, how much later the row's bytes stand, the places of the chunks, and the part of the first text around them.
+
+    Each step is settled before the next one, so that texts are never shuffled twice at a time; the parts, which are many and alike, are written to folder.
+    """
+    found = _seeded(rows)
+    often = settled(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "place")).alias("first")).where("n > 1").drop("n"))
+    shift = F.shiftright("place", 8) - F.shiftright("first.place", 8)
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
-    later = found.join(often, "h").where(~own | (F.col("at") - F.col("first.at") >= MIN_RUN))
-    lines = later.groupBy("id", "mark", F.col("first.id").alias("of_id"), F.col("first.mark").alias("of_mark"), (F.col("at") - F.col("first.at")).alias("shift"))
-    lines = settled(lines.agg(F.sort_array(F.collect_set("at")).alias("ats")))
-    texts = rows.select(F.col("id").alias("t_id"), F.col("mark").alias("t_mark"), F.col("text").alias("t_text"))
-    met = lines.join(texts, F.col("of_id").eqNullSafe(F.col("t_id")) & (F.col("of_mark") == F.col("t_mark")))
-    begin = F.greatest(F.lit(0), F.element_at("ats", 1) - F.col("shift") - _MARGIN)
-    length = F.element_at("ats", -1) - F.col("shift") + ANCHOR + _MARGIN - begin
-    met = met.withColumn("part", F.substring(F.encode("t_text", "UTF-8"), (begin + 1).cast("int"), length.cast("int")))
-    return met.groupBy("id", "mark").agg(F.collect_list(F.struct("of_id", "of_mark", "shift", "ats", begin.alias("begin"), "part")).alias("matches"))
+    later = found.join(often, "h").where(~own | (shift >= MIN_RUN))
+    lines = later.groupBy(F.struct("id", "mark").alias("who"), F.struct("first.id", "first.mark").alias("of"), shift.alias("shift"))
+    lines = settled(lines.agg(F.sort_array(F.collect_set("place")).alias("places")))
+    met = lines.join(rows.select(F.struct("id", "mark").alias("of"), "text"), "of")
+    last = F.element_at("places", -1)
+    begin = F.greatest(F.lit(0), F.shiftright(F.element_at("places", 1), 8) - F.col("shift") - SURE)
+    length = F.shiftright(last, 8) + last.bitwiseAND(255) - F.col("shift") + SURE - begin
+    part = F.substring(F.encode("text", "UTF-8"), (begin + 1).cast("int"), length.cast("int"))
+    met.select("who", "of", "shift", "places", begin.alias("begin"), part.alias("part")).write.option("compression", "zstd").parquet(folder)
+    gc.collect()
+    rows.sparkSession.sparkContext._jvm.System.gc()  # as settled() does
+    return rows.sparkSession.read.parquet(folder).groupBy("who").agg(F.collect_list(F.struct("of", "shift", "places", "begin", "part")).alias("matches"))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -196,16 +223,20 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _equal_spans(own: np.ndarray, match: dict) -> list[tuple[int, int, int]]:
-    """(anchor, begin, end) of the spans of own that equal the match's part for MIN_RUN bytes at least."""
+    """(place, begin, end) of the spans of own that equal the match's part for MIN_RUN bytes at least, and the first chunk in each."""
     shift, part = match["shift"], np.frombuffer(match["part"], np.uint8)
     low = match["begin"] + shift
     lo, hi = max(0, low), min(len(own), low + len(part))
     differ = np.flatnonzero(own[lo:hi] != part[lo - low : hi - low]) + lo
-    out = []
-    for at in match["ats"]:
+    out, reached = [], -1
+    for place in match["places"]:
+        at, stop = place >> 8, (place >> 8) + (place & 255)
+        if stop <= reached:
+            continue
         k = int(np.searchsorted(differ, at))
         begin, end = int(differ[k - 1]) + 1 if k else lo, int(differ[k]) if k < len(differ) else hi
-        if begin <= at and at + ANCHOR <= end and end - begin >= MIN_RUN:
+        if begin <= at and stop <= end and end - begin >= MIN_RUN:
+            reached = end
             while begin < end and own[begin] & 0xC0 == 0x80:
                 begin += 1
             while end < len(own) and own[end] & 0xC0 == 0x80:
@@ -216,17 +247,17 @@ def _equal_spans(own: np.ndarray, match: dict) -> list[tuple[int, int, int]]:
 
 def _extended(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
     """With texts, (id, kept) of every document; else (id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256)."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = keyed(docs, id_col, text_col)
-    sought = _sought(rows).withColumnRenamed("id", "own_id").withColumnRenamed("mark", "own_mark")
-    joined = rows.join(sought, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left").select("id", "mark", "text", "matches")
-    id_type = joined.schema["id"].dataType.simpleString()
+    id_type = rows.schema["id"].dataType.simpleString()
+    folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    joined = rows.select(F.struct("id", "mark").alias("who"), "text").join(_sought(rows, folder), "who", "left")
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field("id").type
-            there = pa.struct([("of_id", kind), ("of_mark", pa.int64()), ("at", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+            there = pa.struct([("of", batch.schema.field("who").type), ("at", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
             data, offsets = utf8(batch.column("text"))
             out = []
             for k, matches in enumerate(batch.column("matches")):
@@ -235,24 +266,25 @@ def _extended(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataF
                 for m in matches.as_py() or ():
                     for at, begin, end in _equal_spans(own, m):
                         gone.append((begin, end))
-                        first.append({"of_id": m["of_id"], "of_mark": m["of_mark"], "at": at - m["shift"], "begin": begin - m["shift"], "end": end - m["shift"]})
+                        first.append({"of": m["of"], "at": at - m["shift"], "begin": begin - m["shift"], "end": end - m["shift"]})
                 gone = _merged(gone)
                 kept = without(own.tobytes(), gone)
                 out.append((kept.decode(errors="ignore"),) if texts else (len(own), len(own) - len(kept), hashlib.sha256(kept).hexdigest(), [{"begin": a, "end": b} for a, b in gone], first))
             if texts:
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "kept": pa.array([t for (t,) in out], pa.string())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("who").field(0), "kept": pa.array([t for (t,) in out], pa.string())})
                 continue
             n, r, h, g, f = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "mark": batch.column("mark"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "kept_sha256": pa.array(h, pa.string()), "gone": pa.array(g, pa.list_(span)), "first": pa.array(f, pa.list_(there))})
+            yield pa.RecordBatch.from_pydict({"who": batch.column("who"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "kept_sha256": pa.array(h, pa.string()), "gone": pa.array(g, pa.list_(span)), "first": pa.array(f, pa.list_(there))})
 
     if texts:
         return joined.mapInArrow(run, f"id {id_type}, kept string").withColumnRenamed("id", id_col)
-    spans = "array<struct<begin: bigint, end: bigint>>"
-    done = cut(joined.mapInArrow(run, f"id {id_type}, mark bigint, n_bytes bigint, n_removed bigint, kept_sha256 string, gone {spans}, first array<struct<of_id: {id_type}, of_mark: bigint, at: bigint, begin: bigint, end: bigint>>"))
-    # Of the matches over one anchor of a first text, the outer ends are enough: a text has no more rows than anchors.
-    first = done.select(F.explode("first").alias("f")).groupBy("f.of_id", "f.of_mark", "f.at").agg(F.min("f.begin").alias("begin"), F.max("f.end").alias("end"))
-    first = first.groupBy("of_id", "of_mark").agg(F.collect_list(F.struct("begin", "end")).alias("shared"))
-    every = done.drop("first").join(first, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
+    who, spans = f"struct<id: {id_type}, mark: bigint>", "array<struct<begin: bigint, end: bigint>>"
+    done = settled(joined.mapInArrow(run, f"who {who}, n_bytes bigint, n_removed bigint, kept_sha256 string, gone {spans}, first array<struct<of: {who}, at: bigint, begin: bigint, end: bigint>>"))
+    remove(spark, folder)
+    # Of the matches over one chunk of a first text, the outer ends are enough: a text has no more rows than chunks.
+    first = done.select(F.explode("first").alias("f")).groupBy("f.of", "f.at").agg(F.min("f.begin").alias("begin"), F.max("f.end").alias("end"))
+    first = first.groupBy(F.col("of").alias("who")).agg(F.collect_list(F.struct("begin", "end")).alias("shared"))
+    every = done.drop("first").join(first, "who", "left")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,11 +294,11 @@ def _extended(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataF
             yield pa.RecordBatch.from_pydict({"id": own["id"], "n_bytes": own["n_bytes"], "n_repeated": pa.array(n, pa.int64()), "n_removed": own["n_removed"], "n_spans": pa.array([len(g) for g in gone], pa.int64()), "kept_sha256": own["kept_sha256"]})
 
     schema = f"id {id_type}, n_bytes bigint, n_repeated bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return every.select("id", "n_bytes", "n_removed", "kept_sha256", "gone", "shared").mapInArrow(total, schema).withColumnRenamed("id", id_col)
+    return every.select("who.id", "n_bytes", "n_removed", "kept_sha256", "gone", "shared").mapInArrow(total, schema).withColumnRenamed("id", id_col)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extend: bool = False) -> DataFrame:
-    """(id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256) of every document; by whole chunks, or with extend by anchors and bytes."""
+    """(id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256) of every document; by whole chunks, or with extend by chunks and the bytes beside them."""
     if extend:
         return _extended(docs, id_col, text_col, texts=False)
 
