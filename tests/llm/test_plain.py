@@ -114,6 +114,29 @@ def test_odd_tables(spark, name):
     assert run(odd(spark.createDataFrame([], DOCS))).count() == 0
 
 
+def test_borders_are_the_least_gear_hashes_of_each_text_alone():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcd \u00e9") for _ in range(n)).encode() for n in (0, 5, 31, 120, 400, 0, 130, 900)] + [b"a" * 300]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    first, end, of = chunk_dedup.seeds(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for k, t in enumerate(texts):
+        got = [(int(a - offsets[k]), int(b - offsets[k])) for a, b, o in zip(first, end, of) if o == k]
+        if len(t) < chunk_dedup.MIN_RUN:
+            assert not got
+            continue
+        hashes = []
+        for i in range(len(t) - 31):
+            h = 0
+            for x in t[i : i + 32]:
+                h = ((h << 1) + int(chunk_dedup.GEAR[x])) & 0xFFFFFFFF
+            hashes.append(h)
+        least = {min(range(a, a + chunk_dedup.STEP), key=lambda i: (hashes[i], i)) + 32 for a in range(len(hashes) - chunk_dedup.STEP + 1)}
+        if len(set(t)) > 1:
+            cuts = [0, *sorted(least - {len(t)}), len(t)]
+            assert got == [(max(0, a - 32), b) for a, b in zip(cuts, cuts[1:]) if b >= 32]
+        assert max(b - a for a, b in got) < 256 and got[-1][1] == len(t)
+
+
 def test_warc_of_rows_with_clashing_columns(spark):
     pages = odd(spark.createDataFrame([(1, "http://a/", "x" * 150), (2, "http://a/", "x" * 150), (3, None, None), (4, "http://b/", "y" * 50), (5, "u", "y" * 50)], "page_id bigint, url string, html string"))
     got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}

@@ -42,6 +42,8 @@ _REACH = 32
 #: With extend: neighbouring places of which the least ends a chunk, and the bytes of which every passage has a whole chunk in common with its copies.
 STEP = 64
 SURE = _REACH + 3 * STEP
+#: Bytes of text that one pass looks for borders in: it holds some ten numbers of 8 bytes for each.
+_SEED_BYTES = 1 << 18
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -181,7 +183,7 @@ def _seeded(rows: DataFrame) -> DataFrame:
     """(id, mark, place, h) of every chunk of rows (id, mark, text); place is 256 x the first byte of what h is over + its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in pieces(batches):
+        for batch, data, offsets in pieces(batches, limit=_SEED_BYTES):
             first, end, of = seeds(data, offsets)
             h = span_hash(data, first, end, 42, fold=False).view(np.int64)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(of)), "mark": batch.column("mark").take(pa.array(of)), "place": (first - offsets[of]) * 256 + (end - first), "h": h})
