@@ -89,7 +89,7 @@ def linear_query(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {CTE}, {BM25}, {ELAPSED},
 seen AS (SELECT * FROM mem WHERE project_id = '{PROJECT}' OR global),
-cand AS (SELECT id FROM (SELECT id FROM seen ORDER BY last_accessed_at DESC, id LIMIT 200) UNION SELECT id FROM seen WHERE pinned),
+cand AS (SELECT id FROM (SELECT id FROM seen ORDER BY last_accessed_at DESC, id LIMIT 500) UNION SELECT id FROM seen WHERE pinned),
 near AS (SELECT id, list_cosine_similarity(vector, q) AS cosine FROM emb JOIN cand USING (id), qv),
 rk AS (SELECT near.id, cosine, 1e0 / (60 + row_number() OVER (ORDER BY cosine DESC, near.id)) + CASE WHEN bm.score IS NULL THEN 0 ELSE 1e0 / (60 + row_number() OVER (ORDER BY bm.score DESC NULLS LAST, near.id)) END AS base
   FROM near LEFT JOIN bm ON bm.id = near.id),
@@ -98,7 +98,7 @@ top AS (SELECT * FROM sc ORDER BY score DESC, id LIMIT 20)
 SELECT id, round(score, 9) AS score FROM top WHERE relevance_score >= 2e-1 ORDER BY top.score DESC, id LIMIT 10"""
 )
 def context_flat(spark: SparkSession, d: str) -> DataFrame:
-    out = retrieval.context(demo.memories(spark, d), demo.embeddings(spark, d), QUERY, demo.vector(spark, d), PROJECT, min_score=0.2, limit=10, cap=200, index=demo.index(spark, d))
+    out = retrieval.context(demo.memories(spark, d), demo.embeddings(spark, d), QUERY, demo.vector(spark, d), PROJECT, min_score=0.2, limit=10, index=demo.index(spark, d))
     return out.select("id", F.round("score", 9).alias("score"))
 
 
@@ -138,9 +138,9 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
     return scope.listing(demo.memories(spark, d), demo.dead(spark, d), successors, PROJECT, offset=20)
 
 
-@query(f"WITH {CTE}, seen AS (SELECT * FROM mem WHERE project_id = '{PROJECT}' OR global) SELECT id FROM (SELECT id FROM seen ORDER BY last_accessed_at DESC, id LIMIT 50) UNION SELECT id FROM seen WHERE pinned")
+@query(f"WITH {CTE}, seen AS (SELECT * FROM mem WHERE project_id = '{PROJECT}' OR global) SELECT id FROM (SELECT id FROM seen ORDER BY last_accessed_at DESC, id LIMIT 500) UNION SELECT id FROM seen WHERE pinned")
 def prefilter(spark: SparkSession, d: str) -> DataFrame:
-    return scope.prefiltered(demo.memories(spark, d), PROJECT, 50).select("id")
+    return scope.prefiltered(demo.memories(spark, d), PROJECT).select("id")
 
 
 @query(f"WITH {CTE} SELECT id FROM mem WHERE project_id = '{PROJECT}' AND relevance_score < 2e-1 AND NOT pinned")
@@ -275,14 +275,19 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return similarity.leader_groups(pairs)
 
 
+_DECADES = "g AS (SELECT id, first_value(id) OVER (PARTITION BY id // 10 ORDER BY updated_at DESC, id) AS keeper FROM mem)"
+
+
 @query(
-    f"""WITH {CTE}, m AS (SELECT id AS keeper, id + 1 AS id FROM mem WHERE id % 4 = 0), g AS (SELECT keeper, mem.* FROM m JOIN mem USING (id))
-SELECT k.id, list_distinct(list_concat(k.tags, g.tags)).list_sort() AS tags, greatest(k.importance, g.importance) AS importance, CAST(g.id AS VARCHAR) AS merged_id FROM mem k JOIN g ON g.keeper = k.id"""
+    f"""WITH {CTE}, {_DECADES}, p AS (SELECT keeper, flatten(list(tags)) AS tags, max(importance) AS importance, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS merged_ids FROM g JOIN mem USING (id) WHERE id <> keeper GROUP BY keeper)
+SELECT k.id, list_distinct(list_concat(k.tags, p.tags)).list_sort() AS tags, greatest(k.importance, p.importance) AS importance, merged_ids FROM mem k JOIN p ON p.keeper = k.id"""
 )
 def merge_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record is in a group, of ten neighbouring ids; the one updated last keeps the others."""
     memories = demo.memories(spark, d)
-    pairs = memories.where("id % 4 = 0").select((F.col("id") + 1).alias("id"), F.col("id").alias("keeper"))
-    return similarity.merged(memories, pairs, NOW).select("id", F.sort_array("tags").alias("tags"), "importance", F.col("merged_from")[0]["id"].alias("merged_id"))
+    pairs = similarity.keepers(memories.select("id", F.floor(F.col("id") / 10).alias("leader")), memories)
+    merged_ids = F.array_join(F.array_sort(F.transform("merged_from", lambda m: m["id"])), ",")
+    return similarity.merged(memories, pairs, NOW).select("id", F.sort_array("tags").alias("tags"), "importance", merged_ids.alias("merged_ids"))
 
 
 @query(
