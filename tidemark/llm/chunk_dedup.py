@@ -194,24 +194,32 @@ def _seeded(rows: DataFrame) -> DataFrame:
 def _sought(rows: DataFrame, folder: str) -> DataFrame:
     """(who, matches): for each row with chunks that another text or place has first, what to compare it with: the first text, how much later the row's bytes stand, the places of the chunks, and the part of the first text around them.
 
-    Each step is settled before the next one, so that texts are never shuffled twice at a time; the parts, which are many and alike, are written to folder.
+    Each step is written to folder before the next one, so that texts are never shuffled twice at a time, and goes when the next one is there.
     """
+    spark = rows.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # as settled() does
+        return spark.read.parquet(f"{folder}/{name}")
+
     found = _seeded(rows)
-    often = settled(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "place")).alias("first")).where("n > 1").drop("n"))
+    often = written(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "place")).alias("first")).where("n > 1").drop("n"), "often")
     shift = F.shiftright("place", 8) - F.shiftright("first.place", 8)
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
     later = found.join(often, "h").where(~own | (shift >= MIN_RUN))
     lines = later.groupBy(F.struct("id", "mark").alias("who"), F.struct("first.id", "first.mark").alias("of"), shift.alias("shift"))
-    lines = settled(lines.agg(F.sort_array(F.collect_set("place")).alias("places")))
+    lines = written(lines.agg(F.sort_array(F.collect_set("place")).alias("places")), "lines")
+    remove(spark, f"{folder}/often")
     met = lines.join(rows.select(F.struct("id", "mark").alias("of"), "text"), "of")
     last = F.element_at("places", -1)
     begin = F.greatest(F.lit(0), F.shiftright(F.element_at("places", 1), 8) - F.col("shift") - SURE)
     length = F.shiftright(last, 8) + last.bitwiseAND(255) - F.col("shift") + SURE - begin
     part = F.substring(F.encode("text", "UTF-8"), (begin + 1).cast("int"), length.cast("int"))
-    met.select("who", "of", "shift", "places", begin.alias("begin"), part.alias("part")).write.option("compression", "zstd").parquet(folder)
-    gc.collect()
-    rows.sparkSession.sparkContext._jvm.System.gc()  # as settled() does
-    return rows.sparkSession.read.parquet(folder).groupBy("who").agg(F.collect_list(F.struct("of", "shift", "places", "begin", "part")).alias("matches"))
+    met = written(met.select("who", "of", "shift", "places", begin.alias("begin"), part.alias("part")), "parts")
+    remove(spark, f"{folder}/lines")
+    return met.groupBy("who").agg(F.collect_list(F.struct("of", "shift", "places", "begin", "part")).alias("matches"))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
