@@ -94,12 +94,11 @@ def test_stretches_and_forgetting(spark, monkeypatch):
     """Neither where a text is cut into stretches nor what a worker has forgotten shows in the result."""
     texts = [" ".join(f"w{i * k % 97} and, don't\n" for i in range(300)) for k in range(1, 5)]
     pair = align.Pair(open(A).read(), open(B, "rb").read())
-    whole = [align.Units(pair).aligned(t) for t in texts]
+    whole = [*align.Units(pair).aligned(texts)]
     monkeypatch.setattr(align, "STRETCH", 50)
     monkeypatch.setattr(align, "KEPT_UNITS", 20)
     units = align.Units(pair)
-    for t, w in zip(texts, whole, strict=True):
-        got = units.aligned(t)
+    for got, w in zip(units.aligned(texts), whole, strict=True):
         assert got[1] == w[1]
         assert all((x == y).all() for x, y in zip((got[0], *got[2:]), (w[0], *w[2:]), strict=True))
 

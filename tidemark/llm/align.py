@@ -26,7 +26,7 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -38,7 +38,7 @@ from tidemark.llm.common import bounded_batches, cut, remove, shared_dir
 
 SPACE_MARK = "▁"
 #: Units that a worker keeps, and their characters; beyond either, it starts anew.
-KEPT_UNITS, KEPT_CHARS = 200_000, 1 << 24
+KEPT_UNITS, KEPT_CHARS = 300_000, 1 << 24
 #: Characters of a text that are taken at a time, and new units that are encoded at a time.
 STRETCH, ENCODED_UNITS = 1 << 20, 20_000
 #: Pairs that travel to all tasks: 16 bytes each.
@@ -84,15 +84,27 @@ class Pair:
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each unit by A and by B; none by either if their bytes are not those of space and unit."""
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the units by A, one after the other, and their number for each unit; the same by B. None by either if their bytes are not those of space and unit."""
+        if self.border and len(units) > 1 and not any(SPACE_MARK in u or u[:1].isspace() or u[-1:].isspace() for u in units):
+            # Such units are encoded alike side by side.
+            joined = " ".join(units)
+            a, b = self.a.encode_batch_fast([f" {joined}"], add_special_tokens=False)[0].ids, self.b.encode(joined)
+            whole = f" {joined}".encode()
+            if b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole:
+                ends = np.cumsum([len(u.encode()) + 1 for u in units])
+                out = []
+                for ids, length in ((a, self.a_length), (b, self.b_length)):
+                    ids = np.array(ids, np.int64)
+                    out += [ids, np.diff(np.searchsorted(np.cumsum(length[ids]), ends, "right"), prepend=0)]
+                return tuple(out)
         a = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)]
         b = self.b.encode(units, num_threads=1)
         for k, unit in enumerate(units):
             whole = f" {unit}".encode()
             if b"".join([self.a_bytes[i] for i in a[k]]) != whole or b"".join([self.b_bytes[i] for i in b[k]]) != whole:
                 a[k], b[k] = [], []
-        return a, b
+        return *_flat(a), *_flat(b)
 
     def units(self, text: str) -> Iterator[list[str]]:
         """The units of a text, a stretch at a time; the space before each is left out."""
@@ -103,6 +115,11 @@ class Pair:
         yield self.border.split(text[at:]) if self.border else [text[at:]]
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter((i for x in lists for i in x), np.int64, sizes.sum()), sizes
+
+
 def coalesced(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group of each A token and of each B token: tokens sorted by start, a group breaks where a start reaches the running maximum of the ends."""
     start, end = np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end])
@@ -146,15 +163,22 @@ class Units(dict):
         self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links
         self.codes, self.offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), ENCODED_UNITS):
-            self._learn(new[k : k + ENCODED_UNITS])
+    def need(self, units: Iterable[str]) -> None:
+        """Have all of these units."""
+        wanted = dict.fromkeys(units)
+        new = [u for u in wanted if u not in self]
+        if new and (len(self) + len(new) > KEPT_UNITS or self.chars > KEPT_CHARS):
+            self.restart()
+            new = list(wanted)
+        odd = [SPACE_MARK in u or u[:1].isspace() or u[-1:].isspace() for u in new]
+        for kind in (False, True):
+            some = [u for u, o in zip(new, odd, strict=True) if o == kind]
+            for k in range(0, len(some), ENCODED_UNITS):
+                self._learn(some[k : k + ENCODED_UNITS])
 
     def _learn(self, new: list[str]) -> None:
         pair = self.pair
-        a_ids, b_ids = pair.encode(new)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64, n.sum()) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+        a, n_a, b, n_b = pair.encode(new)
         # Units lie end to end on one axis of bytes, so that one pass coalesces all of them; a border of units is one of groups.
         a_end, b_end = np.cumsum(pair.a_length[a]), np.cumsum(pair.b_length[b])
         a_start, b_start = a_end - pair.a_length[a], b_end - pair.b_length[b]
@@ -177,28 +201,32 @@ class Units(dict):
         self.codes = np.concatenate([self.codes, a[i] * pair.b_size + b[j]])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(links)])
 
-    def aligned(self, text: str | None) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
-        """(n_a, n_b, n_groups, n_links), groups_sha256, and the distinct id pairs that a text links with the times of each."""
+    def aligned(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
+        """Of each text: (n_a, n_b, n_groups, n_links), groups_sha256, and the distinct id pairs that it links with the times of each."""
+        texts = list(texts)
+        cut = [[*self.pair.units(t)] if t and len(t) <= STRETCH else None for t in texts]
+        self.need(u for stretches in cut if stretches for units in stretches for u in units)
+        for text, stretches in zip(texts, cut, strict=True):
+            yield self._added(stretches or (self.pair.units(text) if text else ()))
+
+    def _added(self, stretches: Iterable[list[str]]) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
         counts, sha, parts = np.zeros(4, np.int64), hashlib.sha256(), []
         none = counts, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not text:
-            return none
-        for n, units in enumerate(self.pair.units(text)):
-            if new := [u for u in dict.fromkeys(units) if u not in self]:
-                if len(self) + len(new) > KEPT_UNITS or self.chars > KEPT_CHARS:
-                    self.restart()
-                    new = list(dict.fromkeys(units))
-                self.learn(new)
-            own = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        for units in stretches:
+            try:
+                own = np.array([self[u] for u in units], np.int64)
+            except KeyError:  # forgotten since, or a further stretch of a long text
+                self.need(units)
+                own = np.array([self[u] for u in units], np.int64)
             if not self.counts[own, 0].all():
                 return none
             counts = counts + self.counts[own].sum(0)
-            sha.update((";" * (n > 0) + ";".join([self.texts[k] for k in own.tolist()])).encode())
+            sha.update((";" * bool(parts) + ";".join([self.texts[k] for k in own.tolist()])).encode())
             kinds, times = np.unique(own, return_counts=True)
             parts.append((self.codes[ragged(self.offsets, kinds)], np.repeat(times, self.counts[kinds, 3])))
             if len(parts) > 16:
                 parts = [_summed(parts)]
-        return counts, sha.hexdigest(), *_summed(parts)
+        return (counts, sha.hexdigest(), *_summed(parts)) if parts else none
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +261,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _kept(*files.value)
         for batch in batches:
-            rows = [units.aligned(t.as_py()) for t in batch.column("text")]
+            rows = [*units.aligned(batch.column("text").to_pylist())]
             if not rows:
                 continue
             counts = np.stack([r[0] for r in rows])
