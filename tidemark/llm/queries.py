@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import align, chunk_dedup, decontaminate, exact_dedup, langid, ngram_join, piece_bpe, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm import align, chunk_dedup, decontaminate, exact_dedup, langid, ngram_join, piece_bpe, secrets, suffix_dedup, toxicity, url_filter, warc, whiten
 from tidemark.llm.common import read
 
 
@@ -55,15 +55,23 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.measured(read(spark, sf_dir, "documents"), extend=True)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(read(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         *(op1_langid, op2_decontaminate, op3_url_filter, op4_sentencepiece, op5_suffix_dedup, op6_exact_dedup, op7_toxicity, op8_ngram_join),
-        *(op9_warc, op10_chunk_dedup, op12_alignment),
+        *(op9_warc, op10_chunk_dedup, op11_whitening, op12_alignment, op13_secrets),
     )
 }
 
