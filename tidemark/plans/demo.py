@@ -68,12 +68,20 @@ def vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(row[0]) if row else [0.0]
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """When a table was last written, its files and their bytes: another state is another table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = files.getContentSummary(at)
+    return files.getFileStatus(at).getModificationTime(), size.getFileCount(), size.getLength()
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
     """The keyword index of the records: written once for a session and table, as a store's writes would keep it, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/documents.parquet"))
     if key not in _indexes:
         folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         Index.of(memories(spark, sf_dir)).save(folder)
