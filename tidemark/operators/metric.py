@@ -20,10 +20,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranking, similarity
+from tidemark.operators import ranking
 from tidemark.session import kept
 
 PIVOTS = 256
@@ -88,7 +89,7 @@ class VectorIndex:
         self.rows = spark.read.parquet(f"{folder}/rows")
         cells = spark.read.parquet(f"{folder}/cells").orderBy("cell").collect()  # one row a pivot
         self.cell = np.array([c["cell"] for c in cells], np.int64)
-        self.pivot = np.array([c["pivot"] for c in cells], np.float64).reshape(len(cells), -1)
+        self.pivot = np.array([c["pivot"] for c in cells], np.float64).reshape(len(cells), -1 if cells else 0)
         self.least, self.most = (np.array([c[k] for c in cells], np.float64) for k in ("least", "most"))
         self.n = np.array([c["n"] for c in cells], np.int64)
 
@@ -197,9 +198,7 @@ def near_pairs(rows: DataFrame, threshold: float, by: Sequence[str] = (), most:
         tile, guest = np.asarray(table.column("tile")), np.asarray(table.column("guest").combine_chunks().cast(pa.int8()))
         a = np.flatnonzero(guest == 1) if i < 0 else np.flatnonzero(tile == i)
         b = np.flatnonzero(guest == 0) if i < 0 else np.flatnonzero(tile == j)
-        order = np.argsort(np.asarray(similarity_rank(table.column("id"))), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = order_of(table.column("id"))
         left, right, scores = [], [], []
         for start in range(0, len(a), 256):
             some = a[start : start + 256]
@@ -219,10 +218,6 @@ def near_pairs(rows: DataFrame, threshold: float, by: Sequence[str] = (), most:
     return found, {"products": told, "all": total}
 
 
-def similarity_rank(ids: pa.ChunkedArray) -> np.ndarray:
-    """Numbers that order ids of any type."""
-    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-    order = pa.compute.sort_indices(ids).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return rank
+def order_of(ids: pa.ChunkedArray) -> np.ndarray:
+    """The place of each id, of any type, among the sorted ones; equal ids have one place."""
+    return pc.rank(ids.combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64)

@@ -268,7 +268,18 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.near_pairs(rows, 0.35, by=("all",), block_rows=256).select("id_a", "id_b", _six("cosine"))
 
 
-@query()
+#: Greedy groups of pairs pr(id_a, id_b): a record that no leader before it is near leads; dup(id, leader).
+GREEDY = """nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM (SELECT id_a AS id FROM pr UNION SELECT id_b FROM pr)),
+nb AS (SELECT n.id, rn, coalesce(list(id_a) FILTER (id_a IS NOT NULL), []) AS ns FROM nodes n LEFT JOIN pr ON pr.id_b = n.id GROUP BY ALL),
+turn AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS leaders UNION ALL SELECT k + 1, CASE WHEN list_has_any(ns, leaders) THEN leaders ELSE list_append(leaders, nb.id) END FROM turn JOIN nb ON rn = k + 1),
+fin AS (SELECT leaders FROM turn ORDER BY k DESC LIMIT 1),
+dup AS (SELECT id, CASE WHEN list_contains(leaders, id) THEN id ELSE list_min(list_filter(ns, lambda x: list_contains(leaders, x))) END AS leader FROM nb, fin)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CTE}, {_PAIRS.replace('pr AS', 'every AS')}, meant AS (SELECT least(source_id, target_id) AS id_a, greatest(source_id, target_id) AS id_b FROM rel WHERE relation_type IN ('derived_from', 'supersedes')),
+pr AS (SELECT id_a, id_b FROM every ANTI JOIN meant USING (id_a, id_b)), {GREEDY} SELECT id, leader FROM dup"""
+)
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = demo.embeddings(spark, d).withColumn("all", F.lit(1))
     pairs = similarity.not_deliberate(similarity.near_pairs(rows, 0.35, by=("all",), block_rows=256), demo.relationships(spark, d))
