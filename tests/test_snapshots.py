@@ -124,6 +124,16 @@ def test_blocks_that_cannot_reach_the_best_are_not_read(spark, tmp_path):
     assert [r["id"] for r in got.collect()] == [f"s{k:02d}" for k in range(10)]
     assert read["postings"] == 620 and read["read"] < 200 and read["parts_read"] < read["parts"]
     assert scores(index.bm25("fox")) == scores(ranking.bm25(rows, "fox"))
+    asked = spark.createDataFrame([(1, "fox filler"), (2, "fox"), (3, "filler 17"), (4, "absent"), (5, "fox-fox filler"), (6, "")], "query_id long, text string")
+    many, told = kept_index.top_of_many(index, asked, 10)
+    got = {}
+    for r in many.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    for r in asked.collect():
+        want = sorted(scores(ranking.bm25(rows, r["text"])).items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert got.get(r["query_id"], []) == want
+    read = {r["query_id"]: (r["postings"], r["read"]) for r in told.collect()}
+    assert read[2] == (620, 20) and read[1][1] < read[1][0]
 
 
 def test_an_empty_store(spark, tmp_path):
