@@ -203,10 +203,10 @@ def test_hook_stream(spark, tmp_path):
     src.mkdir()
     (src / "a.jsonl").write_text("\n".join(json.dumps({"project_id": "p", "event": "SessionEnd", "message": f"said {k}", "at": NOW + k}) for k in range(7)))
     lines = spark.readStream.text(str(src))
-    ingest.start(lines, str(tmp_path / "out"), str(tmp_path / "ck"), cap=5).awaitTermination(120)
+    assert ingest.start(lines, str(tmp_path / "out"), str(tmp_path / "ck"), cap=5).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
     (src / "b.jsonl").write_text(json.dumps({"project_id": "p", "event": "SessionEnd", "message": "late", "at": NOW + 9}))
-    ingest.start(lines, str(tmp_path / "out"), str(tmp_path / "ck"), cap=5).awaitTermination(120)
+    assert ingest.start(lines, str(tmp_path / "out"), str(tmp_path / "ck"), cap=5).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 

@@ -95,7 +95,11 @@ def todo_list(todos: DataFrame, memories: DataFrame, project: str, branch: Colum
     return rows.select("memory_id", "status", "reason", "content", "branch", "created_at", "closed_at").orderBy(F.desc("created_at"), "memory_id")
 
 
-def near_todos(todos: DataFrame, embeddings: DataFrame, vector: Sequence[float], least: float = 0.97, most: int = 3) -> DataFrame:
+#: How near an open item is that an added one may repeat, and how many of them are told.
+NEAR_TODO, NEAR_TODOS = 0.97, 3
+
+
+def near_todos(todos: DataFrame, embeddings: DataFrame, vector: Sequence[float], least: float = NEAR_TODO, most: int = NEAR_TODOS) -> DataFrame:
     """Open items that say almost the same; they are reported, never merged."""
     rows = todos.where("status = 'open'").select(F.col("memory_id").alias("id")).join(embeddings, "id").select("id", ranking.cosine_to(vector)("vector").alias("score"))
     return rows.where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(most)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import ranking
+from tidemark.operators import batch, maintained, ranking
 from tidemark.session import kept
 
 BLOCK_ROWS = 2048
@@ -144,6 +144,33 @@ def online_clusters(rows: DataFrame, least: float = 0.75) -> DataFrame:
     return ordered.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, project_id {rows.schema['project_id'].dataType.simpleString()}, cluster int")
 
 
+def sliced_clusters(rows: DataFrame, least: float = 0.75, slice_seconds: int = 30 * 86400) -> DataFrame:
+    """(id, project_id, cluster_id): leader clustering by slices of time, in which no task holds a project. A cluster bears the id of the record that began it.
+
+    The contract: the records of a slice are compared with the centroids as they stood when it began; one joins the nearest that is near enough (of equals, the
+    smallest id). The others form greedy groups in the order of their ids, and each group begins a cluster. Then the centroids take in the slice's members, from kept
+    sums alone. rows: (id, project_id, vector, created_at). There is a round for each slice that has records; those without a vector are in no cluster.
+    """
+    rows = rows.where("vector is not null").withColumn("slice", F.floor(F.coalesce("created_at", F.lit(0)) / slice_seconds))
+    members = sums = None
+    for (turn,) in rows.select("slice").distinct().orderBy("slice").collect():  # slices of the store's life
+        new = kept(rows.where(F.col("slice") == turn).select("id", "project_id", "vector"))
+        rest, joined = new, None
+        if sums is not None:
+            means = maintained.centroids(sums).select(F.col("cluster_id.id").alias("id"), F.col("cluster_id.project_id").alias("project_id"), F.col("centroid").alias("vector"))
+            found = batch.nearest(new.withColumnRenamed("id", "query_id"), means, 1, by=("project_id",), least=least)
+            joined = kept(found.select(F.col("query_id").alias("id"), F.col("id").alias("cluster_id")))
+            rest = new.join(joined, "id", "left_anti")
+        groups = leader_groups(near_pairs(rest, least, by=("project_id",)))
+        begun = rest.select("id").join(groups, "id", "left").select("id", F.coalesce("leader", "id").alias("cluster_id"))
+        placed = kept(new.join(begun if joined is None else begun.unionByName(joined), "id"))
+        change = maintained.vector_sums(placed.select(F.struct(F.col("cluster_id").alias("id"), "project_id").alias("cluster_id"), "vector"))
+        sums = kept(change if sums is None else maintained.with_change(sums, change))
+        placed = placed.select("id", "project_id", "cluster_id")
+        members = placed if members is None else members.unionByName(placed)
+    return members if members is not None else rows.select("id", "project_id", F.col("id").alias("cluster_id"))
+
+
 def near_centroids(clusters: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id, leader): clusters of a project that fold into one, greedily by id."""
     return leader_groups(near_pairs(clusters.select(F.col("cluster_id").alias("id"), "project_id", F.col("centroid").alias("vector")), threshold, by=("project_id",)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import records, writes
+from tidemark.operators import batch, records, writes
 from tidemark.operators.scope import in_project
 from tidemark.session import kept
 from tidemark.tables import Store, StoreError
@@ -42,14 +42,10 @@ def written(store: Store, project: str, ops: DataFrame, vectors: DataFrame, now:
     told = kept(judged(ops, store.todos))
     good = told.where("error is null")
     added = good.where("op = 'add'")
-    near = None
-    open_ones = records.todo_list(store.todos, store.memories, project, status="open").select("memory_id", "status")
-    stored = store.embeddings.select(F.col("memory_id").alias("id"), "vector")
-    for row in added.join(vectors, "turn").select("turn", "vector").collect():  # no more than `most`
-        found = records.near_todos(open_ones, stored, row["vector"]).select(F.lit(row["turn"]).alias("turn"), "id", "score")
-        near = found if near is None else near.unionByName(found)
-    if near is None:
-        near = told.select("turn", F.col("memory_id").alias("id"), F.lit(0.0).alias("score")).limit(0)
+    open_ones = records.todo_list(store.todos, store.memories, project, status="open").select(F.col("memory_id").alias("id"))
+    stored = store.embeddings.select(F.col("memory_id").alias("id"), "vector").join(open_ones, "id", "left_semi")
+    near = batch.nearest(added.join(vectors, "turn").select(F.col("turn").alias("query_id"), "vector"), stored, records.NEAR_TODOS, least=records.NEAR_TODO)
+    near = near.select(F.col("query_id").alias("turn"), "id", F.col("cosine").alias("score"))
 
     text = F.trim("text")
     branch = F.when(F.col("branch") == "auto", F.lit(current).cast("string")).when(F.col("branch") != "", F.col("branch"))
