@@ -76,11 +76,20 @@ def query_linear(memories: DataFrame, embeddings: DataFrame, text: str, vector:
 
 
 def _context_scores(rows: DataFrame, text: str, memories: DataFrame, mode: str, within: list[str], index: Index | None = None) -> DataFrame:
-    """rows (id, cosine, ...) with `base`, by the mode: cosine, the keyword pseudo score, or both fused; ranks are within the groups of columns `within`."""
+    """rows (id, cosine, ...) with `base`, by the mode: cosine, the keyword pseudo score, or both fused; ranks are within the groups of columns `within`, or over all rows if it is empty."""
     if mode == "vector":
         return rows.withColumn("base", F.col("cosine"))
     words = _keywords(memories, text, index).withColumnRenamed("score", "word")
     rows = rows.join(words, "id", "left")
+    if not within:  # over all rows, in ranges of the score
+        word = ranking.ranked(rows.where("word is not null").select("id", "word"), "word", "place").select("id", F.col("place").alias("word_place"))
+        rows = rows.join(word, "id", "left")
+        word = 1.0 / (ranking.RRF_K + 1 + F.col("word_place"))
+        if mode == "bm25":
+            return rows.withColumn("base", word).where("base is not null").drop("word_place")
+        near = ranking.ranked(rows.select("id", "cosine"), "cosine", "near_place").select("id", "near_place")
+        base = 1.0 / (ranking.RRF_K + 1 + F.col("near_place")) + F.coalesce(word, F.lit(0.0))
+        return rows.join(near, "id").withColumn("base", base).drop("word_place", "near_place")
     by_word = Window.partitionBy(*within).orderBy(F.desc_nulls_last("word"), "id")
     word = F.when(F.col("word").isNotNull(), 1.0 / (ranking.RRF_K + F.row_number().over(by_word)))
     if mode == "bm25":
@@ -98,7 +107,7 @@ def context(memories: DataFrame, embeddings: DataFrame, text: str, vector: Seque
     near = _similar(candidates, embeddings, vector)
     if mode == "vector":
         near = near.where(F.col("cosine") >= min_score)
-    based = _context_scores(near.withColumn("all", F.lit(1)), text, memories, mode, ["all"], index)  # at most cap rows and the pinned ones
+    based = _context_scores(near, text, memories, mode, [], index)
     timed = clock.elapsed_days(candidates, clock.store_days(memories))
     rows = timed.join(based.select("id", "cosine", "base"), "id")
     blend = clock.additive if mode == "vector" else clock.multiplicative
@@ -131,10 +140,24 @@ def context_by_cluster(memories: DataFrame, embeddings: DataFrame, centroids: Da
     return rows.orderBy("cluster_rank", "own").limit(limit).select("id", "cluster_id", F.col("base").alias("score"))
 
 
-def context_plain(memories: DataFrame, embeddings: DataFrame, vector: Sequence[float], project: str, min_score: float = 0.3, limit: int = 5) -> DataFrame:
-    """The command line's context: cosine alone over all that the project sees, the best 2 x limit, then the gate."""
+def context_hierarchical(memories: DataFrame, embeddings: DataFrame, centroids: DataFrame, members: DataFrame, text: str, vector: Sequence[float], project: str, least_records: int = 10, **options) -> DataFrame:
+    """(id, cluster_id, score): `context_by_cluster` if the project has a cluster and at least `least_records` records; else `context`, without clusters. options are of both."""
+    own = memories.where(scope.in_project(project)).select("id")
+    clustered = members.join(own, "id", "left_semi").join(centroids.where("centroid is not null").select("cluster_id"), "cluster_id", "left_semi")
+    if own.limit(least_records).count() == least_records and not clustered.isEmpty():
+        return context_by_cluster(memories, embeddings, centroids, members, text, vector, project, **options)
+    flat = context(memories, embeddings, text, vector, project, **options)
+    return flat.select("id", F.lit(None).cast(centroids.schema["cluster_id"].dataType).alias("cluster_id"), "score")
+
+
+def context_plain(memories: DataFrame, embeddings: DataFrame, vector: Sequence[float], project: str, min_score: float = 0.3, limit: int = 5, dead: DataFrame | None = None, successors: DataFrame | None = None) -> DataFrame:
+    """The command line's context: cosine alone over all that the project sees, the best 2 x limit, then the gate; with dead and successors, then curation (and via_id)."""
     near = _similar(memories.where(scope.in_project(project, with_global=True)), embeddings, vector)
-    return near.select("id", F.col("cosine").alias("score")).orderBy(F.desc("score"), "id").limit(2 * limit).where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(limit)
+    rows = near.select("id", F.col("cosine").alias("score")).orderBy(F.desc("score"), "id").limit(2 * limit).where(F.col("score") >= min_score)
+    if dead is None:
+        return rows.orderBy(F.desc("score"), "id").limit(limit)
+    found = curation.context_curated(ranking.ranked(rows, "score", "rank"), memories, dead, successors)
+    return found.orderBy("rank", "id").limit(limit).select("id", "score", "via_id")
 
 
 def recalled(memories: DataFrame, embeddings: DataFrame, vector: Sequence[float], project: str, limit: int = 5, least: float = 0.3) -> DataFrame:
