@@ -2,11 +2,12 @@
 
 Each word is toxic or not. A word's features are itself and its first and last bytes (`AFFIXES`), lower-cased and hashed
 to `TABLE` weights; two neighbouring tags have a weight for each pair. Forward-backward gives each word's marginal, and
-a document's score is a logistic function of the marginals' sum, largest and density. Words whose marginal is at least
+a document's score is a logistic function of the marginals' sum, their odds against no toxic word, largest and density. Words whose marginal is at least
 one half make up the offending spans.
 
 Labels are of documents, so the training words are tagged first: a feature that occurs in toxic documents, more
-often than chance would have it over all features seen, and in hardly any clean ones (`CLEAN_SHARE`), tags the words of toxic documents that have it. The field and
+often than chance would have it over all features seen, and in hardly any clean ones (`CLEAN_SHARE`), tags the words of toxic documents that have it.
+So does one that clean documents have at times, but hardly ever more than once: it tags the words of toxic documents that have it more than once. The field and
 the document's function are then fitted on the driver by gradient descent, on a bounded sample: about `TRAIN_ROWS`
 labelled rows at most for each label, of about `TRAIN_WORDS` words together, half of them for each label. Where a label's rows have more, its longest
 give a run of words at a place drawn by hash, all runs of one length; no row is left out for its length. The document's function sees the sampled rows whole, on Spark tasks. Scoring covers whole texts, on Spark tasks of bounded batches.
@@ -30,9 +31,11 @@ from tidemark.llm.common import ODD, bounded_batches, cut, mixed, pieces, remain
 
 TABLE = 1 << 18
 #: First bytes (positive) and last bytes (negative) of a word that count as features, besides the word; 0 is the word.
-AFFIXES = (0, 4, 5, -4)
+AFFIXES = (0, 4, 5, 7, -4)
 TRAIN_ROWS, TRAIN_WORDS = 1500, 1_600_000
-THRESHOLD, CLEAN_SHARE = 0.3, 25
+THRESHOLD, CLEAN_SHARE = 0.3, 9
+#: Rows of the sample that a feature must occur in to be held against chance, and to have a weight.
+LEAST_SEEN = 5
 _STEP = 512
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?|\"'()[]*#"]] = True
@@ -52,6 +55,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return places, first, end, of
 
 
+def occurring(places: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, sign) of all signs that texts have, each once: a feature's place, and TABLE + place if it occurs more than once there."""
+    once, n = np.unique(of.astype(np.int64) << 32 | places, return_counts=True)
+    met = np.concatenate([once, once[n > 1] + TABLE])
+    return met >> 32, met & 0xFFFFFFFF
+
+
 def marginals(e: np.ndarray, fresh: np.ndarray, pair: np.ndarray, counts: bool = False):
     """Each word's probability to be toxic, given e (toxic less clean potential), where texts begin, and the weights of pairs of tags; with counts, also the expected number of each pair.
 
@@ -127,11 +137,12 @@ def marginals(e: np.ndarray, fresh: np.ndarray, pair: np.ndarray, counts: bool =
 
 
 def evidence(p: np.ndarray, of: np.ndarray, n_docs: int) -> np.ndarray:
-    """What a document's function looks at: the marginals' sum (log), largest and density."""
+    """What a document's function looks at: the marginals' sum (log), the odds that they leave to no toxic word (log), their largest and density."""
     total = np.bincount(of, weights=p, minlength=n_docs)
     top = np.zeros(n_docs)
     np.maximum.at(top, of, p)
-    return np.stack([np.log1p(total), top, np.sqrt(total / np.maximum(np.bincount(of, minlength=n_docs), 1))], 1)
+    sure = np.bincount(of, weights=-np.log1p(-np.minimum(p, 1 - 1e-6)), minlength=n_docs)
+    return np.stack([np.log1p(total), np.log1p(sure), top, np.sqrt(total / np.maximum(np.bincount(of, minlength=n_docs), 1))], 1)
 
 
 @dataclass
@@ -183,17 +194,16 @@ def _confirmed(docs: DataFrame, labels: DataFrame, telling: np.ndarray) -> np.nd
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches):
             found, _, _, of = features(data, offsets)
-            met = [np.zeros(0, np.int64)]
-            for k in range(len(AFFIXES)):
-                hit = np.flatnonzero(sought.value[found[k]])
-                met.append(of[hit] << 32 | found[k][hit])
-            met = np.unique(np.concatenate(met))
-            yield pa.RecordBatch.from_pydict({"id": rows.column("id").take(pa.array(met >> 32)), "place": (met & 0xFFFFFFFF).astype(np.int32)})
+            either = sought.value[:TABLE] | sought.value[TABLE:]
+            hit = [np.flatnonzero(either[x]) for x in found]
+            own, signs = occurring(np.concatenate([x[h] for x, h in zip(found, hit)]), np.concatenate([of[h] for h in hit]))
+            told = sought.value[signs]
+            yield pa.RecordBatch.from_pydict({"id": rows.column("id").take(pa.array(own[told])), "place": signs[told].astype(np.int32)})
 
     # Texts stay where they are: only ids and places of words that tell meet the labels.
     met = docs.mapInArrow(hits, f"id {docs.schema['id'].dataType.simpleString()}, place int").join(labels, "id")
     counts = met.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-    kept = [r[0] for r in counts.where((F.col("n") - F.col("toxic")) * CLEAN_SHARE <= F.col("toxic")).select("place").collect()]  # at most TABLE
+    kept = [r[0] for r in counts.where((F.col("n") - F.col("toxic")) * CLEAN_SHARE <= F.col("toxic")).select("place").collect()]  # at most 2 x TABLE
     out = np.zeros_like(telling)
     out[kept] = True
     return out
@@ -251,15 +261,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     f = np.concatenate([x for _, x in got], 1)
     of = np.repeat(np.arange(len(got)), [x.shape[1] for _, x in got])
     # Tags of the training words: by features that hardly any clean document has (a wrong label may be among them), more often than chance over all features.
-    seen = [np.unique(x) for _, x in got]
-    n_all = np.bincount(np.concatenate(seen), minlength=TABLE)
-    n_toxic = np.bincount(np.concatenate([s for s, t in zip(seen, toxic) if t]), minlength=TABLE)
+    seen = [occurring(x.ravel(), np.zeros(x.size, np.int64))[1] for _, x in got]
+    n_all = np.bincount(np.concatenate(seen), minlength=2 * TABLE)
+    n_toxic = np.bincount(np.concatenate([s for s, t in zip(seen, toxic) if t]), minlength=2 * TABLE)
     rate = toxic.mean()
     share = np.clip(n_toxic / np.maximum(n_all, 1), 1e-9, 1 - 1e-9)
     surprise = n_all * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))  # bound of the binomial tail
-    telling = (share > rate) & (surprise > np.log(max(2, (n_all > 1).sum()))) & ((n_all - n_toxic - 1) * CLEAN_SHARE <= n_toxic)
+    telling = (share > rate) & (surprise > np.log(max(2, (n_all >= LEAST_SEEN).sum()))) & ((n_all - n_toxic - 1) * CLEAN_SHARE <= n_toxic)
     telling = _confirmed(docs, labels, telling)
-    tag = telling[f].any(0) & (toxic[of] == 1)
+    tag = np.zeros(len(of), bool)
+    for k in range(len(AFFIXES)):
+        _, at, n = np.unique(of.astype(np.int64) << 32 | f[k], return_inverse=True, return_counts=True)
+        tag |= telling[f[k]] | (telling[f[k] + TABLE] & (n[at] > 1))
+    tag &= toxic[of] == 1
     fresh = np.ones(len(of), bool)
     fresh[1:] = of[1:] != of[:-1]
     observed = np.zeros((2, 2))
@@ -267,6 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     used, compact = np.unique(f, return_inverse=True)
     compact = compact.reshape(f.shape)
     n_words = len(of)
+    # A feature of hardly any rows would be learned by heart and says nothing of others: it has no weight.
+    common = n_all[used] >= LEAST_SEEN
 
     def grad(x: np.ndarray) -> np.ndarray:
         table, bias, pair = x[:-5], x[-5], x[-4:].reshape(2, 2)
@@ -275,24 +291,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
         g = np.zeros(len(table))
         for k in range(len(AFFIXES)):
             g += np.bincount(compact[k], weights=d, minlength=len(table))
-        return np.concatenate([g + 0.05 * table, [d.sum()], (expected - observed).ravel() + 0.05 * pair.ravel()]) / n_words
+        return np.concatenate([(g + 0.05 * table) * common, [d.sum()], (expected - observed).ravel() + 0.05 * pair.ravel()]) / n_words
 
     start = np.zeros(len(used) + 5)
     start[-5] = -4.0
     x = _adam(grad, start, 40, 0.25)
     table = np.zeros(TABLE, np.float32)
     table[used] = x[:-5]
-    model = Model(table, float(x[-5]), x[-4:].reshape(2, 2), np.zeros(4))
+    model = Model(table, float(x[-5]), x[-4:].reshape(2, 2), np.zeros(5))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def seen_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches):
             p, _, _, of = shared.value.words(data, offsets)
             x = evidence(p, of, rows.num_rows)
-            yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "toxic": rows.column("toxic"), **{c: pa.array(x[:, k]) for k, c in enumerate("abc")}})
+            yield pa.RecordBatch.from_pydict({"u": rows.column("u"), "toxic": rows.column("toxic"), **{c: pa.array(x[:, k]) for k, c in enumerate("abcd")}})
 
     # The document's function sees whole texts, as it does in scoring: a run of a long text would have less evidence than the text.
-    whole = [r for r in sorted(rows.mapInArrow(seen_by, "u bigint, toxic int, a double, b double, c double").toLocalIterator()) if (r[0], r[1]) in drawn]
+    whole = [r for r in sorted(rows.mapInArrow(seen_by, "u bigint, toxic int, a double, b double, c double, d double").toLocalIterator()) if (r[0], r[1]) in drawn]
     z, y = np.array([[*r[2:], 1.0] for r in whole]), np.array([float(r[1]) for r in whole])
     # Each label weighs what it weighs among all labelled rows, however much of it the sample has.
     weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum()) / (counts[0] + counts[1])
@@ -336,9 +352,11 @@ def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) of every document."""
-    out = predicted(docs, fit_labels(docs, labels, id_col, text_col), id_col, text_col)
-    return out.select(id_col, F.coalesce(remainder(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    """(id, held_out, score, predicted, spans) of every document. spans: first:end of the offending runs of words in bytes, joined by commas."""
+    out = predicted(docs, fit_labels(docs, labels, id_col, text_col), id_col, text_col, spans=True)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"], s["end"])), ",")
+    held_out = F.coalesce(remainder(F.col(id_col), 4) == 2, F.lit(False))
+    return out.select(id_col, held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), spans.alias("spans"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
