@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import lookup, records, writes
-from tidemark.tables import ADR_TRANSITIONS, Store, StoreError
+from tidemark.tables import ADR_TRANSITIONS, NotFound, Store, StoreError
 
 
 def created(store: Store, adr: DataFrame, vector: Sequence[float], now: int, supersedes: int | None = None, importance: float = 0.9, pinned: bool = True) -> tuple[Store, dict]:
@@ -22,7 +22,7 @@ def created(store: Store, adr: DataFrame, vector: Sequence[float], now: int, sup
     if supersedes is not None:
         old = lookup.adr_by_number(adrs, row["project_id"], supersedes).select("memory_id", "status").first()
         if old is None:
-            raise StoreError(f"ADR-{supersedes:04d} not found")
+            raise NotFound(f"ADR-{supersedes:04d} not found")
         if old["status"] != "superseded" and "superseded" not in ADR_TRANSITIONS[old["status"]]:
             raise StoreError(f"invalid ADR status transition: {old['status']} -> superseded")
     new = adr.withColumns({"created_at": F.lit(now).cast("bigint"), "updated_at": F.lit(now).cast("bigint")})
@@ -57,7 +57,7 @@ def shown(store: Store, project: str, number: int, now: int) -> tuple[Store, Dat
     """The decision record of a number; showing it counts as a use of it."""
     row = lookup.adr_by_number(store.adrs, project, number)
     if row.isEmpty():
-        raise StoreError(f"ADR-{number:04d} not found")
+        raise NotFound(f"ADR-{number:04d} not found")
     return store.with_(memories=writes.reinforced(store.memories, row.select(F.col("memory_id").alias("id")), now)), row
 
 
@@ -67,12 +67,15 @@ def written(adrs: DataFrame, folder: str, apply: bool = False) -> DataFrame:
     if apply:
 
         def write(batches):
-            from pathlib import Path
+            from pyarrow import fs
 
+            # A path without a scheme is one of the local file system, which then has to be shared.
+            system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+            system.create_dir(root, recursive=True)
             for batch in batches:
                 for path, text in zip(batch["path"], batch["text"], strict=True):
-                    Path(path).parent.mkdir(parents=True, exist_ok=True)
-                    Path(path).write_text(text, "utf-8")
+                    with system.open_output_stream(f"{root.rstrip('/')}/{path.rsplit('/', 1)[1]}") as out:
+                        out.write(text.encode())
                 yield batch[["path"]]
 
         files.mapInPandas(write, "path string").count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import at_boundary
 from tidemark.operators import graph, lookup, ranking, records, writes
 from tidemark.operators.scope import in_project
-from tidemark.tables import Store, StoreError
+from tidemark.tables import InvalidArguments, InvalidType, Store
 
 IMPORTANCE, KIN = 0.85, ("decision", "pattern", "debug")
 NO_BRANCH = "No current branch detected; returning off-branch handoffs only."
@@ -30,7 +30,7 @@ def created(store: Store, handoffs: DataFrame, section_vectors: DataFrame, vecto
     refused. Decisions, patterns and debug notes near a section are linked by `auto_linked`.
     """
     if not handoffs.where(F.coalesce("branch", F.lit("")) == "").isEmpty():
-        raise StoreError("a handoff needs a branch")
+        raise InvalidArguments("a handoff needs a branch")
     handoffs = records.checked_handoffs(handoffs)
     values = {"id": F.col("memory_id"), "memory_type": F.lit("handoff"), "tags": F.coalesce("tags", F.array().cast("array<string>")), "importance": F.lit(IMPORTANCE)}
     values |= {"relevance_score": F.lit(1.0), "access_count": F.lit(0), "pinned": F.lit(True), "global": F.lit(False)}
@@ -59,9 +59,9 @@ def edited(store: Store, markdown: DataFrame, section_vectors: DataFrame, vector
     """Handoffs whose Markdown (id, text) was replaced: text, sections and vectors change together. What cannot be read is refused before anything is written, the trash included."""
     found = records.parsed(markdown)
     if not found.where(~F.col("valid")).isEmpty():
-        raise StoreError("a handoff needs a summary")
+        raise InvalidArguments("a handoff needs a summary")
     if not found.join(store.handoffs.select(F.col("memory_id").alias("id")), "id", "left_anti").isEmpty():
-        raise StoreError("not a handoff")
+        raise InvalidType("not a handoff")
     old = store.handoffs.select("memory_id", "continues_from")
     rows = _with_vectors(found.withColumnRenamed("id", "memory_id"), section_vectors).join(old, "memory_id").select(store.handoffs.columns)
     texts = markdown.select("id", F.col("text").alias("content")).join(found.select("id", "summary"), "id")

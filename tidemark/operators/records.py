@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.text import at_boundary, slug
 from tidemark.operators import graph, ranking, scope
-from tidemark.tables import StoreError
+from tidemark.tables import InvalidArguments, InvalidType, NotFound
 
 #: Sections of a handoff in their order, and whether each is a list.
 SECTIONS = (("summary", False), ("decisions", True), ("todos", True), ("blockers", True), ("mental_model", False), ("tried", True), ("next_steps", True), ("notes", False))
@@ -62,7 +62,7 @@ def resume(handoffs: DataFrame, memories: DataFrame, todos: DataFrame, relations
     """What a session that goes on needs: the chain of the newest handoff, its best sections cut to width, open todos, blockers, and what it was derived from."""
     newest = latest_handoffs(memories, project, branch, 1).select("id").first()
     if newest is None:
-        raise StoreError("there is no handoff to resume")
+        raise NotFound("there is no handoff to resume")
     start = newest[0]
     path = graph.chain(handoffs.select(F.col("memory_id").alias("id"), F.col("continues_from").alias("next")), start)
     own = handoffs.where(F.col("memory_id") == start)
@@ -131,6 +131,35 @@ def adr_markdown(adrs: DataFrame) -> DataFrame:
     return adrs.select(F.concat(F.lpad(F.col("adr_number").cast("string"), 4, "0"), F.lit("-"), slug(F.col("title")), F.lit(".md")).alias("path"), F.concat_ws("\n\n", head, *body).alias("text"))
 
 
+def _under(text: Column, heading: str) -> Column:
+    """What stands under the last heading of a name, up to the next one."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?ms)^## [ \t]*{heading}[ \t]*$\n?(.*?)(?=^## |\z)"), F.lit(1))
+    return F.regexp_replace(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")), r"^\s+|\s+$", "")
+
+
+def parsed_adrs(markdown: DataFrame) -> DataFrame:
+    """(id, title, context, decision, consequences, valid) of decision records as Markdown (id, text).
+
+    The title is the last heading of the first level, without its number; a section is what stands under its last heading
+    of the second level, and empty if there is none. Number, status and date are columns of their own and not read. A record
+    without a title or a decision, null and empty texts among them, is not valid.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    title = F.trim(F.coalesce(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?m)^# (.*)$"), F.lit(1)), F.lit(-1)), F.lit("")))
+    title = F.regexp_replace(title, r"^(ADR [0-9]+: |[0-9]*\. )", "")
+    rows = markdown.select("id", title.alias("title"), F.regexp_replace(text, r"(?m)^# .*$\n?", "").alias("__body"))
+    rows = rows.select("id", "title", *[_under(F.col("__body"), name).alias(name.lower()) for name in ("Context", "Decision", "Consequences")])
+    return rows.withColumn("valid", (F.col("title") != "") & (F.col("decision") != ""))
+
+
+def checked_adrs(markdown: DataFrame) -> DataFrame:
+    """Decision records of Markdown (id, text), all of them valid."""
+    rows = parsed_adrs(markdown)
+    if not rows.where(~F.col("valid")).isEmpty():
+        raise InvalidType("adr: malformed sections")
+    return rows.drop("valid")
+
+
 def _title(name: str) -> str:
     return name.replace("_", " ").title()
 
@@ -178,9 +207,9 @@ def parsed(markdown: DataFrame) -> DataFrame:
 def checked_handoffs(handoffs: DataFrame) -> DataFrame:
     """Handoffs that may be stored: with a summary, and without todos, which are records of their own."""
     if not handoffs.where(F.trim(F.coalesce("summary", F.lit(""))) == "").isEmpty():
-        raise StoreError("a handoff needs a summary")
+        raise InvalidArguments("a handoff needs a summary")
     if not handoffs.where(F.size(F.coalesce("todos", F.array().cast("array<string>"))) > 0).isEmpty():
-        raise StoreError("todos are written as todo items, not in a handoff")
+        raise InvalidArguments("todos are written as todo items, not in a handoff")
     return handoffs
 
 

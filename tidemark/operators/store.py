@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import auto_summary, first_sentence
 from tidemark.operators import clock, lookup, ranking, records, scope, similarity, writes
-from tidemark.tables import MEMORY_TYPES, Store, StoreError
+from tidemark.tables import MEMORY_TYPES, EmbeddingError, InvalidArguments, InvalidType, NotFound, Store
 
 EXEMPT_TYPES = ("handoff", "todo", "adr")
 
@@ -33,7 +33,7 @@ def remember(store: Store, row: DataFrame, vector: Sequence[float], now: int, le
     """
     new = row.select("id", "project_id", "memory_type", "global").first()
     if new["memory_type"] not in MEMORY_TYPES:
-        raise StoreError(f"unknown type {new['memory_type']!r}")
+        raise InvalidType(f"unknown type {new['memory_type']!r}")
     vectors = store.embeddings.select(F.col("memory_id").alias("id"), "vector")
     best = duplicates(store.memories, vectors, vector, new["project_id"], new["memory_type"], min(1.0, max(0.5, least)), exempt).first()
     if best is not None and skip_above is not None and best["score"] >= skip_above:
@@ -58,7 +58,7 @@ def remember_fully(store: Store, row: DataFrame, vector: Sequence[float], now: i
     new = row.select("id", "project_id", "memory_type", "content").first()
     known = {r["id"] for r in store.memories.where(F.col("id").isin(*supersedes)).select("id").collect()} if supersedes else set()
     if missing := set(supersedes) - known:
-        raise StoreError(f"not found: {', '.join(sorted(missing))}")
+        raise NotFound(f"not found: {', '.join(sorted(missing))}")
     if new["memory_type"] == "handoff":
         own = row.sparkSession.createDataFrame([(new["id"], [float(x) for x in vector], None)], store.embeddings.schema)
         store, told = batch(store, row, own, now), {"outcome": "stored", "id": new["id"]}
@@ -106,7 +106,7 @@ def captured(store: Store, captures: DataFrame, vectors: DataFrame, now: int, le
     each record of their projects and types meets few of them.
     """
     if vectors.select("memory_id").join(captures.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").count() < captures.count():
-        raise StoreError("every capture needs a vector")
+        raise EmbeddingError("every capture needs a vector")
     new = captures.join(vectors.select(F.col("memory_id").alias("id"), "vector"), "id")
     new = new.select("id", "project_id", "memory_type", "vector", F.lit(1).alias("turn"), F.coalesce("created_at", F.lit(now)).alias("at"), "global")
     pool = store.memories.where(~F.col("memory_type").isin(*EXEMPT_TYPES) & (F.coalesce(F.size("merged_from"), F.lit(0)) <= 0))
@@ -150,7 +150,7 @@ def merge(store: Store, pairs: DataFrame, now: int) -> Store:
 def batch(store: Store, rows: DataFrame, vectors: DataFrame, now: int, most: int = 100) -> Store:
     """Up to `most` records at once, without deduplication. vectors: (memory_id, vector, model_version)."""
     if rows.limit(most + 1).count() > most:
-        raise StoreError(f"more than {most} records in a batch")
+        raise InvalidArguments(f"more than {most} records in a batch")
     return refreshed(store.with_(memories=writes.stored(store.memories, rows.withColumn("summary", auto_summary()), now), embeddings=store.embeddings.unionByName(vectors)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import batch, records, writes
 from tidemark.operators.scope import in_project
 from tidemark.session import kept
-from tidemark.tables import Store, StoreError
+from tidemark.tables import InvalidArguments, Store
 
 OPS = "turn int, op string, memory_id string, text string, branch string, tags array<string>, importance double, reason string"
 IMPORTANCE = 0.6
@@ -38,7 +38,7 @@ def written(store: Store, project: str, ops: DataFrame, vectors: DataFrame, now:
     A closed item is marked dead, so that queries leave it out; reopening takes that back. vectors: (turn, vector) of added and edited texts.
     """
     if ops.limit(most + 1).count() > most:
-        raise StoreError(f"more than {most} operations at once")
+        raise InvalidArguments(f"more than {most} operations at once")
     told = kept(judged(ops, store.todos))
     good = told.where("error is null")
     added = good.where("op = 'add'")

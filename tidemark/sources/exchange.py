@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import lookup, scope, writes
-from tidemark.tables import SCHEMAS, Store, StoreError
+from tidemark.tables import SCHEMAS, FormatError, Store
 
 VERSION, READABLE = "1.2", ("1.0", "1.1", "1.2")
 
@@ -46,7 +46,7 @@ def section_blob(sections: DataFrame, dim: int) -> DataFrame:
 def sections_of_blob(rows: DataFrame, dim: int) -> DataFrame:
     """(memory_id, section, vector) from (memory_id, keys, blob). A blob whose length does not fit its keys is an error."""
     if not rows.where(F.octet_length("blob") != 4 * dim * F.size(F.split("keys", ","))).isEmpty():
-        raise StoreError("a section blob does not fit its keys")
+        raise FormatError("a section blob does not fit its keys")
     flat = rows.select("memory_id", F.split("keys", ",").alias("keys"), F.arrow_udf(_decode, "array<float>")("blob").alias("v"))
     return flat.select("memory_id", F.posexplode("keys").alias("pos", "section"), "v").select("memory_id", "section", F.slice("v", F.col("pos") * dim + 1, F.lit(dim)).alias("vector"))
 
@@ -71,7 +71,7 @@ def imported(store: Store, folder: str, project: str, now: int, mode: str = "mer
     spark: SparkSession = store.memories.sparkSession
     version = spark.read.schema("version string").json(f"{folder}/head").first()
     if version is None or version[0] not in READABLE:
-        raise StoreError(f"cannot read version {version and version[0]!r}")
+        raise FormatError(f"cannot read version {version and version[0]!r}")
     if mode == "replace":
         store = writes.trashed(store, store.memories.where(scope.in_project(project)).select("id"), "replace", now)
     handoff, adr = (", ".join(f.strip() for f in _fields(SCHEMAS[n]) if not f.strip().startswith(("memory_id", "sections"))) for n in ("handoffs", "adrs"))

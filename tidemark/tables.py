@@ -35,6 +35,26 @@ class StoreError(ValueError):
     """A request that the store refuses."""
 
 
+class NotFound(StoreError):
+    """A record, decision record or handoff that is not there."""
+
+
+class InvalidType(StoreError):
+    """A record whose type is none, or whose content is not of its type."""
+
+
+class EmbeddingError(StoreError):
+    """A record without the vector that it needs."""
+
+
+class FormatError(StoreError):
+    """A document of another version, or a codec's bytes that do not fit."""
+
+
+class InvalidArguments(StoreError):
+    """A request that says too little, too much or what does not go together."""
+
+
 class UnknownProject(StoreError):
     def __init__(self, asked: str, known: list[str]):
         super().__init__(f"unknown project {asked!r}; known: {', '.join(known)}")
