@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators import batch, maintained, ranking
 from tidemark.session import kept
@@ -81,8 +80,10 @@ def leader_groups(pairs: DataFrame) -> DataFrame:
 def keepers(groups: DataFrame, memories: DataFrame) -> DataFrame:
     """(id, keeper): of each group, the record that was updated last stays."""
     rows = groups.join(memories.select("id", "updated_at"), "id")
-    newest = Window.partitionBy("leader").orderBy(F.desc("updated_at"), "id")
-    return rows.select("id", F.first("id").over(newest).alias("keeper"))
+    # Combined where the rows lie, so that a large group is no task's own.
+    order = F.struct(F.col("updated_at").isNull().alias("never"), (-F.col("updated_at")).alias("age"), "id")
+    newest = rows.groupBy("leader").agg(F.min_by("id", order).alias("keeper"))
+    return rows.select("id", "leader").join(newest, "leader").select("id", "keeper")
 
 
 def merged(memories: DataFrame, pairs: DataFrame, now: int) -> DataFrame:
