@@ -275,7 +275,7 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("most, piece", [(16_384, 300), (2, 1 << 21)])
+@pytest.mark.parametrize("most, piece", [(4_096, 300), (6, 1 << 21), (1, 1 << 21)])
 def test_repeated_strings(spark, monkeypatch, most, piece):
     monkeypatch.setattr(suffix_dedup, "GROUP_SEGMENTS", most)
     monkeypatch.setattr(suffix_dedup, "pieces", lambda batches: pieces(batches, limit=piece))

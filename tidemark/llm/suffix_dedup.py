@@ -18,8 +18,8 @@ the bytes before and after, are repeated windows.
 SHORT bytes that also starts elsewhere (a passage of some 50 words is shorter than LENGTH). A repeated string of LENGTH bytes is covered by repeated strings of SHORT
 bytes, so that the second run, for strings of LENGTH bytes, need only look at windows inside what the first one covered.
 
-A minimizer with more than `GROUP_SEGMENTS` different segments does not go to one task: its segments are split into
-their windows, which Spark counts by digest, combined where they lie.
+A minimizer with more than `GROUP_SEGMENTS` different segments does not go to one task (`_found_in_parts`). Its windows are divided by more
+bytes beside the minimizer, on the side where they reach further, and again while a group is too large; every group ends in a suffix array.
 
 Defined results. Null text: empty. Texts shorter than LENGTH bytes: untouched. Null ids pass through. Rows repeated in
 whole or sharing an id: each is a place of its own. Empty table: no rows. Extra columns: left out.
@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunk_dedup import without
-from tidemark.llm.common import BYTE, bounded_batches, by_bucket, cut, gram_hash, keyed, mixed, pieces, settled, sliding_argmin, utf8
+from tidemark.llm.common import BYTE, bounded_batches, by_bucket, cut, gram_hash, keyed, pieces, settled, sliding_argmin, utf8
 
 LENGTH, SHORT, GRAM_LEVELS, CELL = 400, 240, 5, 16
 GRAM = 1 << GRAM_LEVELS
-GROUP_SEGMENTS = 16_384
+GROUP_SEGMENTS = 4_096
 BATCH_BYTES = 1_500_000
 
 
@@ -201,16 +201,13 @@ def repeated_windows(texts: list[bytes], anchors: list[int], length: int = LENGT
     sa = where[sa]
     sa = sa[sa >= 0]
     of_last = np.cumsum(counts)[owner] - np.arange(len(rank))  # cells from here to the segment's end
-    sums = np.zeros(len(rank) + 1, np.uint64)
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    powers = np.cumprod(np.full(len(rank), factor))
-    np.cumsum(mixed(rank.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    back = np.cumprod(np.full(len(rank), np.uint64(pow(int(factor), -1, 1 << 64))))
+    # Neighbours whose common prefix is `inner` cells or more.
     long = of_last[sa] >= inner
-    core = np.zeros(len(sa), np.uint64)
-    core[long] = (sums[sa[long] + inner] - sums[sa[long]]) * back[sa[long]]
+    pair = np.flatnonzero(long[1:] & long[:-1])
+    for k in range(inner):
+        pair = pair[rank[sa[pair] + k] == rank[sa[pair + 1] + k]]
     same = np.zeros(len(sa), bool)
-    same[1:] = long[1:] & long[:-1] & (core[1:] == core[:-1])
+    same[pair + 1] = True
     group = np.cumsum(~same)
     in_group = same | np.append(same[1:], False)
     sa, group = sa[in_group], group[in_group]
@@ -260,20 +257,62 @@ def _found_in_groups(members: DataFrame, length: int) -> DataFrame:
     return members.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, "f1 bigint, f2 bigint, runs array<int>")
 
 
-def _found_in_windows(members: DataFrame, length: int) -> DataFrame:
-    """The same for segments of minimizers with very many: their windows are counted by digest, then gathered by segment."""
+def _divided(members: DataFrame, length: int) -> DataFrame:
+    """Segments (g1, g2, f1, f2, at, low, high, anchor, body) of groups in which `low` bytes before the minimizer and `high` after it are
+    known to be equal, each as at most two: the windows that hold half of the unknown bytes before, and the others, which hold the rest
+    of them after. Groups are told apart by these bytes as well, so that equal windows stay in one. (s1, s2) is the digest of a group and a body."""
+    schema = pa.schema([(c, pa.int64()) for c in ("g1", "g2", "s1", "s2", "f1", "f2", "at", "low", "high", "anchor")] + [("body", pa.binary())])
+
+    def digest(*of: bytes) -> tuple[int, ...]:
+        return tuple(np.frombuffer(hashlib.blake2b(b"".join(of), digest_size=16).digest(), np.int64).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f1, f2, body in zip(*(batch.column(c).to_pylist() for c in ("f1", "f2", "body")), strict=True):
-                n = len(body) - length + 1
-                w = np.frombuffer(b"".join([hashlib.blake2b(body[k : k + length], digest_size=16).digest() for k in range(n)]), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"f1": np.full(n, f1), "f2": np.full(n, f2), "at": np.arange(n, dtype=np.int32), "w1": w[:, 0].copy(), "w2": w[:, 1].copy()})
-
-    windows = members.mapInArrow(run, "f1 bigint, f2 bigint, at int, w1 bigint, w2 bigint")
-    often = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    at = windows.join(cut(often), ["w1", "w2"]).groupBy("f1", "f2").agg(F.collect_set("at").alias("at"))
-    return at.select("f1", "f2", F.flatten(F.transform("at", lambda k: F.array(k, k + 1))).alias("runs"))
+            out = []
+            for row in batch.to_pylist():
+                body, anchor, low, high = row["body"], row["anchor"], row["low"], row["high"]
+                windows, group = len(body) - length + 1, np.array([row["g1"], row["g2"]], np.int64).tobytes()
+                free = length - GRAM - low - high
+                half = (free + 1) // 2
+                first = min(max(anchor - low - half + 1, 0), windows)  # windows before this one hold half more bytes before the minimizer
+                after = anchor + GRAM + high
+                for begin, end, more_low, more_high, known in (
+                    (0, first, half, 0, slice(anchor - low - half, anchor - low)),
+                    (first, windows, 0, free - half + 1, slice(after, after + free - half + 1)),
+                ):
+                    if begin < end:
+                        part = body[begin : end + length - 1]
+                        inner = digest(group, b"<" if more_low else b">", body[known])
+                        name = digest(np.array(inner, np.int64).tobytes(), part)
+                        out.append((*inner, *name, row["f1"], row["f2"], row["at"] + begin, low + more_low, high + more_high, anchor - begin, part))
+            columns = list(zip(*out)) if out else [()] * len(schema)
+            yield pa.RecordBatch.from_pydict({f.name: pa.array(v, f.type) for f, v in zip(schema, columns, strict=True)})
+
+    kinds = ", ".join(f"{c} bigint" for c in schema.names[:-1])
+    return members.mapInArrow(run, f"{kinds}, body binary")
+
+
+def _found_in_parts(members: DataFrame, length: int) -> DataFrame:
+    """The same for segments of minimizers with very many. A group without unknown bytes has one kind of segment, so there is an end."""
+    none = F.lit(0).cast("bigint")
+    left = members.select(F.col("mini").alias("g1"), none.alias("g2"), "f1", "f2", none.alias("at"), none.alias("low"), none.alias("high"), F.col("anchor").cast("bigint").alias("anchor"), "body")
+    group, kind, found = ["g1", "g2"], ["g1", "g2", "s1", "s2"], None
+    while not left.isEmpty():
+        parts = settled(_divided(left, length))
+        one = F.first(F.struct("f1", "f2", "at", "low", "high", "anchor", "body")).alias("one")
+        kinds = settled(parts.groupBy(*kind).agg(F.count("*").alias("n"), one).select(*kind, "n", "one.*"))
+        sizes = settled(kinds.groupBy(*group).agg(F.count("*").alias("kinds")).where("kinds > 1"))
+        shared = kinds.join(sizes, group)
+        some = shared.where(F.col("kinds") <= GROUP_SEGMENTS)
+        arrays = _found_in_groups(some.select(F.col("g1").alias("mini"), F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.col("anchor").cast("int").alias("anchor"), "body"), length)
+        arrays = arrays.withColumnsRenamed({"f1": "s1", "f2": "s2"}).join(some.select("s1", "s2", "f1", "f2", "at"), ["s1", "s2"])
+        whole = F.array(F.lit(0), F.octet_length("body") - length + 1).alias("runs")
+        again = parts.join(kinds.where("n > 1").select(*kind), kind).select("f1", "f2", "at", whole)
+        now = settled(arrays.select("f1", "f2", "at", "runs").unionByName(again))
+        found = now if found is None else found.unionByName(now)
+        left = settled(shared.where(F.col("kinds") > GROUP_SEGMENTS).select(*group, "f1", "f2", "at", "low", "high", "anchor", "body"))
+    runs = F.transform("runs", lambda k: (F.col("at") + k).cast("int")).alias("runs")
+    return found.select("f1", "f2", runs).groupBy("f1", "f2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _recurring(rows: DataFrame, length: int) -> DataFrame:
@@ -317,7 +356,7 @@ def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = members.where(F.col("kinds") > GROUP_SEGMENTS)
     parts = _found_in_groups(members.where(F.col("kinds") <= GROUP_SEGMENTS), length)
     if not hot.isEmpty():
-        parts = parts.unionByName(_found_in_windows(hot, length))
+        parts = parts.unionByName(_found_in_parts(hot, length))
     parts = parts.join(whole.select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(whole)
     # A segment's runs are of its windows; null stands for all of them.
     parts = settled(parts.groupBy("f1", "f2").agg(F.first("runs").alias("runs")))
