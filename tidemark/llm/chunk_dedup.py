@@ -9,7 +9,9 @@ taken for a repeated passage where neighbouring ones make up at least `MIN_RUN`
 Whole chunks miss the ends of a passage, and short passages altogether. With `extend` (as op10_chunk_dedup runs), chunks are
 smaller and no length is set for them: one ends where the gear hash is the least of any `STEP` neighbouring places. Such borders depend on the bytes
 around them alone, no chunk is longer than `STEP`, and every passage of `SURE` bytes has a chunk that all its copies have. A chunk's digest is over its
-bytes and the 32 before it, by which its first border was judged. Where a digest repeats, the text is compared byte by byte with the first one that has
+bytes and the 32 before it, by which its first border was judged. A match of `MIN_RUN` bytes over a digest's bytes holds at least half of the missing
+ones on one side of them, so a chunk goes with short hashes of so many bytes before and after (`sides`), and one that agrees with the first
+of its digest in neither is done with. The text is compared byte by byte with the first one that has
 the chunk, left and right of it, and a match of `MIN_RUN` bytes or more, cut to whole characters, is removed. Each removed byte has an
 equal one earlier in the order. A chunk is compared with its first text alone: a passage all of whose chunks stand, before its first copy,
 in other texts with less than `MIN_RUN` bytes in common stays. Copies within a text count where they are `MIN_RUN` bytes apart or more.
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ODD, bounded_batches, cut, keyed, mixed, pieces, remove, settled, shared_dir, sliding_min, span_hash, utf8
+from tidemark.llm.common import ODD, bounded_batches, by_bucket, cut, keyed, mixed, pieces, remove, settled, shared_dir, sliding_min, span_hash, utf8
 
 MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_RUN = 5, 24, 256, 120
 GEAR = (mixed(np.arange(256, dtype=np.uint64) * ODD[10] + ODD[11]) >> np.uint64(32)).astype(np.uint32)
@@ -44,6 +46,8 @@ STEP = 64
 SURE = _REACH + 3 * STEP
 #: Bytes of text that one pass looks for borders in: it holds some ten numbers of 8 bytes for each.
 _SEED_BYTES = 1 << 18
+#: Values of the hash of a side, and the bits that it takes.
+_SIDE = (1 << 15) - 1
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -180,15 +184,44 @@ def seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _seeded(rows: DataFrame) -> DataFrame:
-    """(id, mark, place, h) of every chunk of rows (id, mark, text); place is 256 x the first byte of what h is over + its length."""
+    """(id, mark, place, sides, h) of every chunk of rows (id, mark, text); place is 256 x the first byte of what h is over + its length,
+    sides the two hashes of the bytes beside it, 0 where the text has not so many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, limit=_SEED_BYTES):
             first, end, of = seeds(data, offsets)
-            h = span_hash(data, first, end, 42, fold=False).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(of)), "mark": batch.column("mark").take(pa.array(of)), "place": (first - offsets[of]) * 256 + (end - first), "h": h})
+            half = np.maximum(MIN_RUN - (end - first) + 1, 0) // 2
+            before, after = first - half >= offsets[of], end + half <= offsets[of + 1]
+            beyond = after & (half > 0)
+            begins = np.concatenate([first, np.where(before, first - half, first), np.where(beyond, end, first)])
+            ends = np.concatenate([end, first, np.where(beyond, end + half, first)])
+            h, left, right = np.split(span_hash(data, begins, ends, 42, fold=False), 3)
+            left, right = ((side % np.uint64(_SIDE) + np.uint64(1)) * there for side, there in ((left, before), (right, after)))
+            sides = (left.astype(np.int32) << 16) | right.astype(np.int32)
+            own = {c: batch.column(c).take(pa.array(of)) for c in ("id", "mark")}
+            yield pa.RecordBatch.from_pydict(own | {"place": (first - offsets[of]) * 256 + (end - first), "sides": sides, "h": h.view(np.int64)})
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark bigint, place bigint, h bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark bigint, place bigint, sides int, h bigint")
+
+
+def _agree(one: str, other: str) -> Column:
+    """Whether the bytes beside two chunks are the same on one side at least, by their hashes."""
+
+    def on(side: int) -> Column:
+        mask = F.lit(side)
+        return (F.col(one).bitwiseAND(mask) != 0) & (F.col(one).bitwiseAND(mask) == F.col(other).bitwiseAND(mask))
+
+    return on(_SIDE) | on(_SIDE << 16)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """(of, raw): the bytes of each text of rows (id, mark, text), rows that share both as one. Only these are combined."""
+    often = settled(rows.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1"))
+    several, single = (
+        some.select(F.struct("id", "mark").alias("of"), F.col("text").cast("binary").alias("raw"))
+        for some in by_bucket(rows, [rows["id"], rows["mark"]], often, ["id", "mark"])
+    )
+    return single.unionByName(several.groupBy("of").agg(F.first("raw").alias("raw")))
 
 
 def _sought(rows: DataFrame, folder: str) -> DataFrame:
@@ -205,18 +238,20 @@ def _sought(rows: DataFrame, folder: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}")
 
     found = _seeded(rows)
-    often = written(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "place")).alias("first")).where("n > 1").drop("n"), "often")
+    often = written(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "place", "sides")).alias("first")).where("n > 1").drop("n"), "often")
     shift = F.shiftright("place", 8) - F.shiftright("first.place", 8)
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
-    later = found.join(often, "h").where(~own | (shift >= MIN_RUN))
+    later = found.join(often, "h").where((~own | (shift >= MIN_RUN)) & _agree("sides", "first.sides"))
     lines = later.groupBy(F.struct("id", "mark").alias("who"), F.struct("first.id", "first.mark").alias("of"), shift.alias("shift"))
     lines = written(lines.agg(F.sort_array(F.collect_set("place")).alias("places")), "lines")
     remove(spark, f"{folder}/often")
-    met = lines.join(rows.select(F.struct("id", "mark").alias("of"), "text"), "of")
+    # Texts that are no chunk's first one stay where they are.
+    firsts, _ = by_bucket(rows, [rows["id"], rows["mark"]], lines.select("of.id", "of.mark"), ["id", "mark"])
+    met = lines.join(_once(firsts), "of")
     last = F.element_at("places", -1)
     begin = F.greatest(F.lit(0), F.shiftright(F.element_at("places", 1), 8) - F.col("shift") - SURE)
     length = F.shiftright(last, 8) + last.bitwiseAND(255) - F.col("shift") + SURE - begin
-    part = F.substring(F.encode("text", "UTF-8"), (begin + 1).cast("int"), length.cast("int"))
+    part = F.substring("raw", (begin + 1).cast("int"), length.cast("int"))
     met = written(met.select("who", "of", "shift", "places", begin.alias("begin"), part.alias("part")), "parts")
     remove(spark, f"{folder}/lines")
     return met.groupBy("who").agg(F.collect_list(F.struct("of", "shift", "places", "begin", "part")).alias("matches"))
@@ -262,7 +297,11 @@ def _extended(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataF
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
     folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
-    joined = rows.select(F.struct("id", "mark").alias("who"), "text").join(_sought(rows, folder), "who", "left")
+    sought = _sought(rows, folder)
+    # Texts without anything to compare them with are not shuffled.
+    some, sure = by_bucket(rows, [rows["id"], rows["mark"]], spark.read.parquet(f"{folder}/parts").select("who.id", "who.mark"), ["id", "mark"])
+    texts_of = [df.select(F.struct("id", "mark").alias("who"), "text") for df in (some, sure)]
+    joined = texts_of[0].join(sought, "who", "left").unionByName(texts_of[1], allowMissingColumns=True)
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +326,9 @@ def _extended(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataF
             yield pa.RecordBatch.from_pydict({"who": batch.column("who"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "kept_sha256": pa.array(h, pa.string()), "gone": pa.array(g, pa.list_(span)), "first": pa.array(f, pa.list_(there))})
 
     if texts:
-        return joined.mapInArrow(run, f"id {id_type}, kept string").withColumnRenamed("id", id_col)
+        kept = settled(joined.mapInArrow(run, f"id {id_type}, kept string").withColumnRenamed("id", id_col))
+        remove(spark, folder)
+        return kept
     who, spans = f"struct<id: {id_type}, mark: bigint>", "array<struct<begin: bigint, end: bigint>>"
     done = settled(joined.mapInArrow(run, f"who {who}, n_bytes bigint, n_removed bigint, kept_sha256 string, gone {spans}, first array<struct<of: {who}, at: bigint, begin: bigint, end: bigint>>"))
     remove(spark, folder)
