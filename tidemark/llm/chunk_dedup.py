@@ -46,8 +46,9 @@ STEP = 64
 SURE = _REACH + 3 * STEP
 #: Bytes of text that one pass looks for borders in: it holds some ten numbers of 8 bytes for each.
 _SEED_BYTES = 1 << 18
-#: Values of the hash of a side, and the bits that it takes.
-_SIDE = (1 << 15) - 1
+#: Bits of the hash of a side, and its values (0 is none).
+_SIDE_BITS = 7
+_SIDE = (1 << _SIDE_BITS) - 1
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -197,11 +198,11 @@ def _seeded(rows: DataFrame) -> DataFrame:
             ends = np.concatenate([end, first, np.where(beyond, end + half, first)])
             h, left, right = np.split(span_hash(data, begins, ends, 42, fold=False), 3)
             left, right = ((side % np.uint64(_SIDE) + np.uint64(1)) * there for side, there in ((left, before), (right, after)))
-            sides = (left.astype(np.int32) << 16) | right.astype(np.int32)
+            sides = (left.astype(np.int16) << _SIDE_BITS) | right.astype(np.int16)
             own = {c: batch.column(c).take(pa.array(of)) for c in ("id", "mark")}
             yield pa.RecordBatch.from_pydict(own | {"place": (first - offsets[of]) * 256 + (end - first), "sides": sides, "h": h.view(np.int64)})
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark bigint, place bigint, sides int, h bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark bigint, place bigint, sides smallint, h bigint")
 
 
 def _agree(one: str, other: str) -> Column:
@@ -211,7 +212,7 @@ def _agree(one: str, other: str) -> Column:
         mask = F.lit(side)
         return (F.col(one).bitwiseAND(mask) != 0) & (F.col(one).bitwiseAND(mask) == F.col(other).bitwiseAND(mask))
 
-    return on(_SIDE) | on(_SIDE << 16)
+    return on(_SIDE) | on(_SIDE << _SIDE_BITS)
 
 
 def _once(rows: DataFrame) -> DataFrame:
