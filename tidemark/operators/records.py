@@ -125,10 +125,12 @@ def superseded_adr(adrs: DataFrame, number: int, project: str) -> DataFrame:
 
 
 def adr_markdown(adrs: DataFrame) -> DataFrame:
-    """(path, text) of each decision record."""
-    head = F.concat(F.lit("# ADR "), F.lpad(F.col("adr_number").cast("string"), 4, "0"), F.lit(": "), "title")
+    """(path, text) of each decision record. Numbers have four digits, or as many as they need."""
+    digits = F.col("adr_number").cast("string")
+    number = F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
+    head = F.concat(F.lit("# ADR "), number, F.lit(": "), "title")
     body = [F.concat(F.lit(f"## {name}\n\n"), F.coalesce(col, F.lit(""))) for name, col in (("Status", "status"), ("Context", "context"), ("Decision", "decision"), ("Consequences", "consequences"))]
-    return adrs.select(F.concat(F.lpad(F.col("adr_number").cast("string"), 4, "0"), F.lit("-"), slug(F.col("title")), F.lit(".md")).alias("path"), F.concat_ws("\n\n", head, *body).alias("text"))
+    return adrs.select(F.concat(number, F.lit("-"), slug(F.col("title")), F.lit(".md")).alias("path"), F.concat_ws("\n\n", head, *body).alias("text"))
 
 
 def _under(text: Column, heading: str) -> Column:
