@@ -9,8 +9,8 @@ path or a name that is used again costs little; a random string costs nearly its
 `NOVEL` bytes a character (a random hexadecimal digit has 0.5, a random base-64 letter 0.75) are reported as `novel`,
 but for those that touch a span of the base, which is reported already. Base spans always stay.
 
-A longer run is weighed by its first `LONGEST` characters, and reported as a whole: whether a long string is random shows
-in them, and what a candidate costs stays bounded.
+A longer run is weighed in pieces of `LONGEST` characters, the last of which ends where the run ends, each with what stands
+around it. The run is as new as its newest piece and reported as a whole. What it costs grows with its length alone.
 
 Positions are code points, ends exclusive. Defined results. Null or empty text: no spans, the digest of an empty string.
 Rows repeated, null ids: each row is scanned for itself; each counts as a document in the dictionary's counts, where ties
@@ -99,17 +99,25 @@ def primed(dictionary: str):
     parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def novelty(before: str, after: str, candidate: str) -> float:
-        own = candidate[:LONGEST]
         # Raw content ends with what is nearest: identifiers, the code after, the code before.
         content = f"{dictionary}\n{after}\n{before}".encode(errors="replace")
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         frame = zstandard.ZstdCompressor(compression_params=parameters, dict_data=held)
         context = before.encode(errors="replace")
-        return (len(frame.compress(context + own.encode())) - len(frame.compress(context))) / len(own)
+        return (len(frame.compress(context + candidate.encode())) - len(frame.compress(context))) / len(candidate)
 
     return novelty
 
 
+def pieces(before: str, after: str, candidate: str) -> Iterator[tuple[str, str, str]]:
+    """A candidate in pieces of `LONGEST` characters at most that cover it, each as (before, after, piece)."""
+    whole, end = before + candidate + after, len(before) + len(candidate)
+    starts = [*range(len(before), max(end - LONGEST, len(before)), LONGEST), max(end - LONGEST, len(before))]
+    for start in starts:
+        stop = min(start + LONGEST, end)
+        yield *surroundings(whole, start, stop), whole[start:stop]
+
+
 def _text_spans(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
@@ -134,7 +142,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nov
                 rows = []
                 for start, end in candidates(text, spans):
                     before, after = surroundings(text, start, end)
-                    rows.append({"start": start, "end": end, "before": before, "after": after, "own": text[start : min(end, start + LONGEST)]})
+                    rows.append({"start": start, "end": end, "before": before, "after": after, "own": text[start:end]})
                 near.append(rows)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "base": pa.array(base, pa.string()), "near": pa.array(near, places)})
 
@@ -148,7 +156,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nov
             out = {"n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": [], "n_novel": []}
             for base, near in zip(batch.column("base").to_pylist(), batch.column("near").to_pylist(), strict=True):
                 spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(","))] if base else []
-                new = [("novel", p["start"], p["end"]) for p in near if novelty(p["before"], p["after"], p["own"]) >= novel]
+                new = [("novel", p["start"], p["end"]) for p in near if any(novelty(*piece) >= novel for piece in pieces(p["before"], p["after"], p["own"]))]
                 for kind in ("assign", "access", "hex"):
                     out[f"n_{kind}"].append(sum(s[0] == kind for s in spans))
                 out["n_novel"].append(len(new))
