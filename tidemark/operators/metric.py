@@ -35,6 +35,8 @@ SLACK = 1e-4
 FIRST_CELLS = 4
 #: Rows of a cell that a join multiplies at once.
 BLOCK_ROWS = 2048
+#: Entries of vectors that a task of a join is dealt, about.
+TASK_ENTRIES = 1 << 23
 
 
 def angle(cosine: float) -> float:
@@ -191,6 +193,10 @@ def near_pairs(rows: DataFrame, threshold: float, by: Sequence[str] = (), most:
     hosts = met.where(~guest).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": (F.lit(-1) - F.col("p")).cast("int"), "j": F.col("tile")})
     wanted = ["id", "vector", *key, "guest", "tile", "i", "j"]
     dealt = pairs.select(wanted).unionByName(hosts.select(wanted))
+    # Dealt anew by the tiles that meet, or all copies of a cell's rows would stay in the cell's task.
+    copies, meetings = sizes.agg(F.sum((F.col("guests") + 2 * F.col("homes")) * F.ceil(F.col("homes") / BLOCK_ROWS)), F.sum(2 * F.ceil(F.col("homes") / BLOCK_ROWS) ** 2)).first()
+    tasks = max(-(-int(copies or 0) * pivots.shape[1] // TASK_ENTRIES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(max(1, min(int(meetings or 0), tasks)), *key, "i", "j")
 
     def multiply(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()

@@ -7,43 +7,71 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import batch, maintained, ranking
 from tidemark.session import kept
 
+#: Rows of a tile that are multiplied at once, at most.
 BLOCK_ROWS = 2048
+#: Entries of a tile's vectors, about: 16,384 vectors of 64 dimensions.
+TILE_ENTRIES = 1 << 20
+#: Tiles that a group of more than one block is cut into at least, so that its products are shared out.
+LEAST_TILES = 8
+#: Entries of vectors that a task of the product is dealt, about.
+TASK_ENTRIES = 1 << 23
+#: Pairs of a batch that leaves a task, at most (or one row's).
+PAIR_ROWS = 1 << 18
 
 
 def near_pairs(rows: DataFrame, threshold: float, by: Sequence[str] = ("project_id", "memory_type"), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b, of the pairs of rows (id, vector, by...) that agree in `by` and reach the threshold.
 
-    The product of all vectors with all is cut into blocks: rows of a group are dealt into tiles of about block_rows, and a task multiplies two tiles, so
-    that a group of any size is shared out and only the pairs found leave a task.
+    The product of all vectors with all is cut into blocks: rows of a group are dealt into tiles, a row is copied once for each other tile of its group, and each two
+    tiles meet. Their product is made block_rows by block_rows at most, and the pairs found leave in bounded batches, so that neither a large group nor many equal
+    vectors fill a task.
     """
     # Vectors of unlike length are not alike, and a row without one is like none.
     rows, by = rows.where("vector is not null").withColumn("dim", F.size("vector")), (*by, "dim")
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("tiles"))
-    dealt = rows.join(sizes, list(by)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    tile_rows = F.greatest(F.lit(block_rows), F.floor(F.lit(TILE_ENTRIES) / F.greatest("dim", F.lit(1))))
+    blocks = F.ceil(F.col("n") / block_rows)
+    sizes = kept(rows.groupBy(*by).agg(F.count("*").alias("n")).withColumn("tiles", F.greatest(F.ceil(F.col("n") / tile_rows), F.least(F.lit(LEAST_TILES), blocks)).cast("int")))
+    groups, met, entries = sizes.agg(F.count("*"), F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2), F.sum(F.col("n") * F.col("tiles") * F.col("dim"))).first()
+    few = F.broadcast if groups <= batch.TRAVELLING else (lambda table: table)
+    dealt = rows.join(few(sizes.select(*by, "tiles")), list(by)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     every = every.select("id", "vector", *by, "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    # Dealt anew by the tiles that meet: rows that were dealt by their groups for the join would otherwise all stay in their group's task.
+    tasks = max(-(-int(entries or 0) // TASK_ENTRIES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = every.repartition(max(1, min(int(met or 0), tasks)), *by, "i", "j")
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def multiply(table: pa.Table) -> pa.Table:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        tile, ids = np.asarray(table.column("tile")), np.array(table.column("id").to_pylist(), object)
-        flat = table.column("vector").combine_chunks().flatten().cast(pa.float64()).fill_null(0)
-        v = np.asarray(flat).reshape(table.num_rows, -1)
+        tile, ids = np.asarray(table.column("tile")), table.column("id").combine_chunks()
+        rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+        a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        v = np.asarray(table.column("vector").combine_chunks().flatten().cast(pa.float64()).fill_null(0)).reshape(table.num_rows, -1)
         norm = np.sqrt((v * v).sum(1))
         v = v / np.where(norm > 0, norm, 1)[:, None]
-        a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        product = v[a] @ v[b].T
-        x, y = np.nonzero(product >= threshold - 1e-12)
-        left, right, near = ids[a[x]], ids[b[y]], product[x, y]
-        once = left < right if i == j else np.ones(len(left), bool)
-        left, right, near = left[once], right[once], near[once]
-        return pa.table({"id_a": pa.array(np.where(left < right, left, right).tolist(), table.schema.field("id").type), "id_b": pa.array(np.where(left < right, right, left).tolist(), table.schema.field("id").type), "cosine": near})
+        right = v[b]
+        for start in range(0, len(a), block_rows):
+            own = a[start : start + block_rows]
+            for begin in range(0, len(b), block_rows):
+                other = b[begin : begin + block_rows]
+                product = v[own] @ right[begin : begin + block_rows].T
+                step = max(1, PAIR_ROWS // len(other))
+                for k in range(0, len(own), step):
+                    x, y = np.nonzero(product[k : k + step] >= threshold - 1e-12)
+                    near, x, y = product[k : k + step][x, y], own[k : k + step][x], other[y]
+                    once = rank[x] < rank[y] if i == j else np.ones(len(x), bool)
+                    near, x, y = near[once], x[once], y[once]
+                    if len(x):
+                        least = rank[x] < rank[y]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.where(least, x, y))), ids.take(pa.array(np.where(least, y, x))), pa.array(near)], ["id_a", "id_b", "cosine"])
 
     return every.groupBy(*by, "i", "j").applyInArrow(multiply, f"id_a {id_type}, id_b {id_type}, cosine double")
 
