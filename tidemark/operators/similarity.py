@@ -91,14 +91,16 @@ def leader_groups(pairs: DataFrame) -> DataFrame:
     edges = kept(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     undecided = kept(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct())
     leaders = joined = None
+    open_edges = edges  # those of two records that are undecided: the rounds read no others
     while not undecided.isEmpty():
-        waiting = edges.join(undecided.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        new = undecided.join(waiting, "id", "left_anti")
-        leaders = kept(new if leaders is None else leaders.unionByName(new))
-        rest = undecided.join(leaders, "id", "left_anti")
-        led = edges.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi").join(rest.withColumnRenamed("id", "b"), "b", "left_semi")
-        joined = kept(led.select(F.col("b").alias("id")).distinct() if joined is None else joined.unionByName(led.select(F.col("b").alias("id")).distinct()))
-        undecided = kept(rest.join(joined, "id", "left_anti"))
+        new = kept(undecided.join(open_edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+        leaders = new if leaders is None else leaders.unionByName(new)
+        led = kept(open_edges.join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        joined = led if joined is None else joined.unionByName(led)
+        undecided = kept(undecided.join(new.unionByName(led), "id", "left_anti"))
+        for end in ("a", "b"):
+            open_edges = open_edges.join(undecided.withColumnRenamed("id", end), end, "left_semi")
+        open_edges = kept(open_edges)
     if leaders is None:
         return pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("leader")).limit(0)
     out = edges.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi").join(joined.withColumnRenamed("id", "b"), "b", "left_semi")
