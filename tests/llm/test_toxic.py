@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -78,3 +79,34 @@ def test_signs_count_a_text_once():
     own, signs = toxicity.occurring(np.array([5, 5, 7, 5]), np.array([0, 0, 0, 1]))
     assert sorted(zip(own.tolist(), signs.tolist())) == [(0, 5), (0, 7), (0, toxicity.TABLE + 5), (1, 5)]
     assert [len(x) for x in toxicity.occurring(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_blocks_are_whole_texts_and_tell_the_same():
+    rng = np.random.default_rng(3)
+    fresh = rng.random(5000) < 0.02
+    fresh[0], fresh[1000:2500] = True, False
+    e, pair = rng.normal(0, 2, 5000), rng.normal(0, 1, (2, 2))
+    blocks = toxicity._blocks(fresh, 700)
+    assert [b.start for b in blocks] == [0] + [b.stop for b in blocks[:-1]] and blocks[-1].stop == 5000 and len(blocks) > 5
+    assert all(fresh[b.start] and (b.stop - b.start <= 700 or fresh[b].sum() == 1) for b in blocks)
+    p, counts = toxicity.marginals(e, fresh, pair, counts=True)
+    parts = [toxicity.marginals(e[b], fresh[b], pair, counts=True) for b in blocks]
+    assert np.allclose(np.concatenate([x for x, _ in parts]), p, rtol=0, atol=1e-12)
+    assert np.allclose(sum(x for _, x in parts), counts, rtol=1e-12)
+
+
+def test_the_fit_holds_the_sample_a_few_times_over_at_most(spark, monkeypatch):
+    descend = toxicity._adam
+    monkeypatch.setattr(toxicity, "_adam", lambda grad, x, steps, rate: descend(grad, x, 2, rate))  # memory does not tell steps apart
+    monkeypatch.setattr(toxicity, "FIT_WORDS", 50_000, raising=False)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, k % 2, " ".join(rng.choices(words, k=1000)) + " vile" * (k % 2)) for k in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "id bigint, text string")
+    labels = spark.createDataFrame([(k, t) for k, t, _ in rows], "id bigint, toxic int")
+    tracemalloc.start()
+    model = toxicity.fit(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model is not None
+    assert most < 150 * 300_000  # bytes; the features of a word are 20

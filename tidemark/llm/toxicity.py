@@ -37,6 +37,8 @@ THRESHOLD, CLEAN_SHARE = 0.3, 9
 #: Rows of the sample that a feature must occur in to be held against chance, and to have a weight.
 LEAST_SEEN = 5
 _STEP = 512
+#: Words that the driver works on at once when it fits: whole texts, this many about.
+FIT_WORDS = 1 << 19
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?|\"'()[]*#"]] = True
 
@@ -112,11 +114,9 @@ def marginals(e: np.ndarray, fresh: np.ndarray, pair: np.ndarray, counts: bool =
     steps = range(_STEP)
     a = entering(forward, steps, range(columns))
     b = entering(backward, steps[::-1], range(columns)[::-1])
-    before = np.zeros((2, _STEP, columns))
     alpha = np.zeros((2, _STEP, columns))
     x0, x1 = a
     for t in steps:
-        before[0, t], before[1, t] = x0, x1
         x0, x1, _ = forward(x0, x1, t)
         alpha[0, t], alpha[1, t] = x0, x1
     p = np.zeros((_STEP, columns))
@@ -126,7 +126,8 @@ def marginals(e: np.ndarray, fresh: np.ndarray, pair: np.ndarray, counts: bool =
     for t in steps[::-1]:
         p[t] = alpha[1, t] * y1 / (alpha[0, t] * y0 + alpha[1, t] * y1)
         if counts:
-            joint = [[before[i, t] * step[i][j][t] * (w[t] * y1 if j else y0) for j in range(2)] for i in range(2)]
+            before = alpha[:, t - 1] if t else a
+            joint = [[before[i] * step[i][j][t] * (w[t] * y1 if j else y0) for j in range(2)] for i in range(2)]
             total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
             for i in range(2):
                 for j in range(2):
@@ -209,6 +210,17 @@ def _confirmed(docs: DataFrame, labels: DataFrame, telling: np.ndarray) -> np.nd
     return out
 
 
+def _blocks(fresh: np.ndarray, most: int) -> list[slice]:
+    """Runs of whole texts of about `most` words, or of one text if it has more. fresh: where texts begin."""
+    begins = np.append(np.flatnonzero(fresh), len(fresh))
+    out, first = [], 0
+    while first < len(fresh):
+        last = int(begins[max(np.searchsorted(begins, first, "right"), np.searchsorted(begins, first + most, "right") - 1)])
+        out.append(slice(first, last))
+        first = last
+    return out
+
+
 def _longest(sizes: list[tuple[int, int]], budget: int) -> int:
     """The largest number of words a row may give, so that all rows together give budget at most (one word each at least). sizes: (words, rows)."""
     rows = sum(n for _, n in sizes)
@@ -258,47 +270,53 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     toxic = np.array([t for t, _ in got])
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    f = np.concatenate([x for _, x in got], 1)
-    of = np.repeat(np.arange(len(got)), [x.shape[1] for _, x in got])
     # Tags of the training words: by features that hardly any clean document has (a wrong label may be among them), more often than chance over all features.
-    seen = [occurring(x.ravel(), np.zeros(x.size, np.int64))[1] for _, x in got]
-    n_all = np.bincount(np.concatenate(seen), minlength=2 * TABLE)
-    n_toxic = np.bincount(np.concatenate([s for s, t in zip(seen, toxic) if t]), minlength=2 * TABLE)
+    n_all, n_toxic = np.zeros(2 * TABLE, np.int64), np.zeros(2 * TABLE, np.int64)
+    for t, x in got:
+        signs = occurring(x.ravel(), np.zeros(x.size, np.int64))[1]  # each once
+        n_all[signs] += 1
+        n_toxic[signs] += t
+    f = np.concatenate([x for _, x in got], 1)
+    of = np.repeat(np.arange(len(got), dtype=np.int32), [x.shape[1] for _, x in got])
+    del got, x  # the driver holds the sample's features once
     rate = toxic.mean()
     share = np.clip(n_toxic / np.maximum(n_all, 1), 1e-9, 1 - 1e-9)
     surprise = n_all * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))  # bound of the binomial tail
     telling = (share > rate) & (surprise > np.log(max(2, (n_all >= LEAST_SEEN).sum()))) & ((n_all - n_toxic - 1) * CLEAN_SHARE <= n_toxic)
     telling = _confirmed(docs, labels, telling)
-    tag = np.zeros(len(of), bool)
-    for k in range(len(AFFIXES)):
-        _, at, n = np.unique(of.astype(np.int64) << 32 | f[k], return_inverse=True, return_counts=True)
-        tag |= telling[f[k]] | (telling[f[k] + TABLE] & (n[at] > 1))
-    tag &= toxic[of] == 1
     fresh = np.ones(len(of), bool)
     fresh[1:] = of[1:] != of[:-1]
+    blocks = _blocks(fresh, FIT_WORDS)
+    tag = np.zeros(len(of), bool)
+    for b in blocks:
+        for place in f[:, b]:
+            _, at, n = np.unique(of[b].astype(np.int64) << 32 | place, return_inverse=True, return_counts=True)
+            tag[b] |= telling[place] | (telling[place + TABLE] & (n[at] > 1))
+    tag &= toxic[of] == 1
     observed = np.zeros((2, 2))
     np.add.at(observed, (tag[:-1][~fresh[1:]].astype(int), tag[1:][~fresh[1:]].astype(int)), 1)
-    used, compact = np.unique(f, return_inverse=True)
-    compact = compact.reshape(f.shape)
     n_words = len(of)
     # A feature of hardly any rows would be learned by heart and says nothing of others: it has no weight.
-    common = n_all[used] >= LEAST_SEEN
+    common = n_all[:TABLE] >= LEAST_SEEN
 
     def grad(x: np.ndarray) -> np.ndarray:
         table, bias, pair = x[:-5], x[-5], x[-4:].reshape(2, 2)
-        p, expected = marginals(table[compact].sum(0) + bias, fresh, pair, counts=True)
-        d = p - tag
-        g = np.zeros(len(table))
-        for k in range(len(AFFIXES)):
-            g += np.bincount(compact[k], weights=d, minlength=len(table))
-        return np.concatenate([(g + 0.05 * table) * common, [d.sum()], (expected - observed).ravel() + 0.05 * pair.ravel()]) / n_words
-
-    start = np.zeros(len(used) + 5)
+        g, total, every = np.zeros(TABLE), 0.0, np.zeros((2, 2))
+        for b in blocks:  # of whole texts, so that none sways another
+            e = np.full(b.stop - b.start, bias)
+            for place in f[:, b]:
+                e += table[place]
+            p, expected = marginals(e, fresh[b], pair, counts=True)
+            d = p - tag[b]
+            for place in f[:, b]:
+                g += np.bincount(place, weights=d, minlength=TABLE)
+            total, every = total + d.sum(), every + expected
+        return np.concatenate([(g + 0.05 * table) * common, [total], (every - observed).ravel() + 0.05 * pair.ravel()]) / n_words
+
+    start = np.zeros(TABLE + 5)
     start[-5] = -4.0
     x = _adam(grad, start, 40, 0.25)
-    table = np.zeros(TABLE, np.float32)
-    table[used] = x[:-5]
-    model = Model(table, float(x[-5]), x[-4:].reshape(2, 2), np.zeros(5))
+    model = Model(x[:-5].astype(np.float32), float(x[-5]), x[-4:].reshape(2, 2), np.zeros(5))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def seen_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
