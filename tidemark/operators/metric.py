@@ -9,7 +9,7 @@ Pivots are a bounded sample (`PIVOTS`, by a hash of the id: the same ones each t
 result. Where vectors spread evenly in many dimensions, angles to pivots are all alike and little can be left out; the number
 of rows that were read is returned.
 
-Cosines are rounded to nine digits before they are compared or ranked; equal ones go by id. Vectors without a direction (null,
+Cosines are rounded to nine digits before they are ranked; equal ones go by id. A join's threshold is held against the cosine as it is. Vectors without a direction (null,
 zero, another length than the pivots') are in no cell and near nothing.
 """
 
@@ -31,6 +31,8 @@ PIVOTS = 256
 DIGITS = 9
 #: Slack of bounds, in radians, for rounding: a cosine of nine digits near 1 is an angle of some 1e-4.
 SLACK = 1e-4
+#: What the product of two unit vectors may lack by rounding.
+NOISE = 1e-14
 #: Cells that a search reads first.
 FIRST_CELLS = 4
 #: Rows of a cell that a join multiplies at once.
@@ -208,9 +210,9 @@ def near_pairs(rows: DataFrame, threshold: float, by: Sequence[str] = (), most:
         left, right, scores = [], [], []
         for start in range(0, len(a), 256):
             some = a[start : start + 256]
-            product = np.round(v[some] @ v[b].T, DIGITS)
-            x, y = np.nonzero(product >= threshold)
-            x, y, near = some[x], b[y], product[x, y]
+            product = v[some] @ v[b].T
+            x, y = np.nonzero(product >= threshold - NOISE)
+            x, y, near = some[x], b[y], np.round(product[x, y], DIGITS)
             once = rank[x] < rank[y] if i == j else rank[x] != rank[y]
             x, y, near = x[once], y[once], near[once]
             swap = rank[x] > rank[y]
