@@ -40,3 +40,20 @@ def test_pairs_under_the_threshold_and_on_a_half(spark, tmp_path):
         rows.append((k + 1, [c] + [math.sqrt(1 - c * c) if j == k else 0.0 for j in range(len(near))], 0))
     got, want = compared(spark, tmp_path, "metric_pairs", {"embeddings": ("vec_id long, embedding array<double>, label int", rows), "documents": ("doc_id long, text string, lang string, source string, n_chars long", [(0, "a", "en", "src0", 1)])})
     assert sorted(got) == sorted(want) and len(want) == 4
+
+
+@pytest.mark.parametrize("name", ["keyword_query", "branch_keyword_query"])
+def test_equal_keyword_scores_go_by_id(spark, tmp_path, name):
+    """Of the hit of rank r the relevance is (61 + r) / 100, so that all scores are 0.01 but for their last bits."""
+    docs = [((base := (61 + r) * 43 % 100) + 100 * (-base % 3) + 300 * r, "nation" + " word" * r, "en", "src1", 1) for r in range(39)]  # without a branch
+    docs += [(20_000 + k, "other text", "de", "src1", 1) for k in range(60)]
+    got, want = compared(spark, tmp_path, name, {"documents": ("doc_id long, text string, lang string, source string, n_chars long", docs), "embeddings": ("vec_id long, embedding array<double>, label int", [(0, [1.0, 0.0], 0)])})
+    assert got == want and len(want) == 10
+
+
+def test_equal_vector_scores_go_by_id(spark, tmp_path):
+    """Scores that six digits do not tell apart."""
+    docs = [(100 * k + 50, "text", "en", "src1", 1) for k in range(30)]  # all of the relevance 0.5
+    vectors = [(0, [1.0, 0.0], 0)] + [(i, [1.0, 1e-5 * (30 - k)], 0) for k, (i, *_) in enumerate(docs)]
+    got, want = compared(spark, tmp_path, "vector_query", {"documents": ("doc_id long, text string, lang string, source string, n_chars long", docs), "embeddings": ("vec_id long, embedding array<double>, label int", vectors)})
+    assert got == want and len(want) == 10

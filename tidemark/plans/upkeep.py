@@ -298,5 +298,5 @@ FROM word JOIN mem USING (id) WHERE relevance_score >= 1e-1 ORDER BY score DESC,
 )
 def branch_keyword_query(spark: SparkSession, d: str) -> DataFrame:
     """Keyword hits of one branch and of none, with their pseudo scores."""
-    out = retrieval.query(demo.memories(spark, d), demo.embeddings(spark, d), demo.QUERY, demo.vector(spark, d), PROJECT, mode="bm25", branch=scope.on_branch("main"), index=demo.index(spark, d))
+    out = retrieval.query(demo.memories(spark, d), demo.embeddings(spark, d), demo.QUERY, demo.vector(spark, d), PROJECT, mode="bm25", branch=scope.on_branch("main"), index=demo.index(spark, d), digits=9)
     return out.select("id", F.round("score", 9).alias("score"))
